@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replicata.functions.keys import key_form, structure_form, subset_form
-from replicata.llm import groups, overlap, topn
+from replicata.llm import groups, leakage, overlap, packing, pii, topn
 from replicata.sources.tables import table
 
 
@@ -79,6 +79,44 @@ def p4_by_source(spark: SparkSession, d: str) -> DataFrame:
     return per_row.join(sources, "node", "left").groupBy("split_uuid", "fold", "source").agg(F.count("*").alias("eval_rows"), F.sum("pairs").alias("pairs"))
 
 
+# Problem 6
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.count_tokens(table(spark, d, "documents")), table(spark, d, "pack_targets"))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in containers of each capacity."""
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    return packing.fill(_packed(spark, d), table(spark, d, "pack_targets"))
+
+
+# Problem 7
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of an evaluation item."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+# Problem 8
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in the documents, once per distinct value of a document."""
+    return pii.find_pii(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with placeholders of their kind for all personal data."""
+    return pii.find_pii(table(spark, d, "documents"), table(spark, d, "name_lexicon"), redacted=True)
+
+
 _KEY = "nullif(regexp_replace(lower({}), '[^a-z0-9]', '', 'g'), '')"
 _SUBSET = r"CASE WHEN lower(regexp_replace(subset, '^\s+|\s+$', '', 'g')) IN ('train', 'valid', 'test') THEN lower(regexp_replace(subset, '^\s+|\s+$', '', 'g')) END"
 
@@ -121,7 +159,7 @@ SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM (SELECT
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_assigned, p3_found, p4_found, p4_by_source)}
+    return {f.__name__: f for f in (p2_found, p2_assigned, p3_found, p4_found, p4_by_source, p6_packed, p6_fill, p7_found, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
