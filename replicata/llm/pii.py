@@ -202,6 +202,10 @@ def named(masked: str, lexicon: Lexicon) -> list[Candidate]:
     return out
 
 
+def is_title(word: str) -> bool:
+    return word.rstrip(".").casefold() in TITLES
+
+
 def _outermost(names: list[Candidate]) -> tuple[list[Candidate], list[Candidate]]:
     """For each start the longest candidate (its left pattern counts), for each end the longest (its right pattern counts)."""
     by_start, by_end = {}, {}
@@ -236,11 +240,12 @@ def pattern_graph(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 starts, ends = _outermost(named(masked, lexicon))
                 for c in starts:
                     left, near = at.left(c.start)
-                    counts[("name", "L " + left, c.value.casefold(), c.seed)] += 1
+                    seed = c.seed or is_title(near)
+                    counts[("name", "L " + left, c.value.casefold(), seed)] += 1
                     if near:
-                        counts[("name", "W " + near, c.value.casefold(), c.seed)] += 1
+                        counts[("name", "W " + near, c.value.casefold(), seed)] += 1
                 for c in ends:
-                    counts[("name", "R " + at.right(c.end), c.value.casefold(), c.seed)] += 1
+                    counts[("name", "R " + at.right(c.end), c.value.casefold(), c.seed or is_title(at.left(c.start)[1]))] += 1
             if counts:
                 keys = list(counts)
                 cols = [pa.array([k[i] for k in keys]) for i in range(4)]
@@ -274,10 +279,14 @@ def score_patterns(graph: DataFrame, rounds: int = 3, least_instances: int = 3,
 
 
 class Extractor:
-    """Decides on the candidates of one text with the scored patterns."""
+    """Decides on the candidates of one text with the scored patterns.
 
-    def __init__(self, lexicon: Lexicon, patterns: dict[tuple[str, str], float], accept: float, reject: float):
-        self.lexicon, self.patterns, self.accept, self.reject = lexicon, patterns, accept, reject
+    A name needs a seed, a title before it or a pattern of confidence ``accept``; a pattern below ``reject`` on the other side
+    speaks against it, but not against one of confidence ``sure``.  Of overlapping names the longest counts.
+    """
+
+    def __init__(self, lexicon: Lexicon, patterns: dict[tuple[str, str], float], leads: set[str], accept: float, reject: float, sure: float = 0.6):
+        self.lexicon, self.patterns, self.leads, self.accept, self.reject, self.sure = lexicon, patterns, leads, accept, reject, sure
 
     def _score(self, c: Candidate, at: Context) -> tuple[float, float]:
         left, near = at.left(c.start)
@@ -293,10 +302,16 @@ class Extractor:
         ranked = []
         for c in named(masked, self.lexicon):
             left, right = self._score(c, at)
-            lacks = 0 <= left < self.reject or 0 <= right < self.reject
-            good = max(left, right) >= self.accept
-            if (left >= self.accept and not lacks) if c.form == "W" else (good or not lacks) if c.seed else (good and not lacks):
-                ranked.append((c.seed, c.end - c.start, -c.start, c))
+            if c.value.partition(" ")[0] in self.leads:
+                continue
+            title = is_title(at.left(c.start)[1])
+            best, lacks = max(left, right), 0 <= left < self.reject or 0 <= right < self.reject
+            if c.form == "W":
+                ok = title or (left >= self.accept and not lacks)
+            else:
+                ok = best >= self.sure or (c.seed or title or best >= self.accept) and (not lacks or (c.seed and best >= self.accept))
+            if ok:
+                ranked.append((c.end - c.start, c.seed or title, -c.start, c))
         taken: list[Candidate] = []
         for *_, c in sorted(ranked, key=lambda x: x[:3], reverse=True):
             at = bisect_right([t.start for t in taken], c.start)
@@ -324,8 +339,13 @@ def _extractor(docs: DataFrame, lexicon: DataFrame, accept: float, reject: float
     scored = materialize(score_patterns(pattern_graph(docs, known)))
     total = scored.agg(F.sum("support")).first()[0] or 0
     useful = scored.filter((F.col("support") >= total * share) & ((F.col("score") >= accept) & (F.col("seeds") >= 2) | (F.col("score") < reject)))
-    patterns = {(r.kind, r.pattern): r.score for r in useful.select("kind", "pattern", "score").toLocalIterator()}
-    return docs.sparkSession.sparkContext.broadcast(Extractor(known, patterns, accept, reject)), scored
+    patterns, leads = {}, set()
+    for r in useful.select("kind", "pattern", "score", "seeds").toLocalIterator():
+        patterns[r.kind, r.pattern] = r.score
+        word = r.pattern[2:]
+        if r.pattern[0] == "W" and r.score >= 0.8 and r.seeds >= 10 and not known.has(word, known.given | known.family):
+            leads.add(word)  # a word that stands before names is no part of them
+    return docs.sparkSession.sparkContext.broadcast(Extractor(known, patterns, leads, accept, reject)), scored
 
 
 def find_pii(docs: DataFrame, lexicon: DataFrame, accept: float = 0.3, reject: float = 0.05, share: float = 1e-6, most_names: int = 1_000_000, redacted: bool = False) -> DataFrame:
