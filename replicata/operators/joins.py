@@ -88,7 +88,7 @@ def compare_splits(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     cols = [key, "subset", "fold"]
     both = a.select(*cols).distinct().withColumn("in_a", F.lit(1)).unionByName(b.select(*cols).distinct().withColumn("in_a", F.lit(0)))
     per = both.groupBy(*cols).agg(F.max("in_a").alias("a"), (1 - F.min("in_a")).alias("b"))
-    return per.groupBy("subset", "fold").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count_if("b = 0").alias("only_a"), F.count_if("a = 0").alias("only_b"))
+    return per.groupBy("subset", "fold").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count_if(F.col("b") == 0).alias("only_a"), F.count_if(F.col("a") == 0).alias("only_b"))
 
 
 def combined_training(split: DataFrame, key: str, unseen: DataFrame | None = None) -> DataFrame:

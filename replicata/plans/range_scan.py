@@ -39,3 +39,28 @@ def starts(columns: Iterable[pa.Array], before: list | None) -> np.ndarray:
 
 def last_row(columns: Iterable[pa.Array]) -> list:
     return [c[-1].as_py() for c in columns]
+
+
+def running_sums(df: DataFrame, groups: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds running sums (inclusive) of columns in each group's ``order``: ``sums`` maps new names to columns.
+
+    The order must tell rows of a group apart.  Rows are range-sorted on group and order, summed inside each partition, and the
+    partitions' totals are prefix-summed, so that a group of any size spreads over tasks.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from replicata.plans.storage import materialize
+
+    keys = [F.col(g) for g in groups]
+    placed = materialize(range_sorted(df, *keys, *order).withColumn("_p", F.spark_partition_id()))
+    totals = placed.groupBy(*groups, "_p").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    w = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*groups, "_p", *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_p", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumns({f"_l_{n}": F.sum(c).over(inside) for n, c in sums.items()})
+    a, b = local.alias("a"), before.alias("b")
+    same = F.col("a._p") == F.col("b._p")
+    for g in groups:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return a.join(b, same).select(*[f"a.{c}" for c in df.columns], *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])

@@ -27,7 +27,7 @@ def assay(spark: SparkSession, d: str) -> DataFrame:
 
 def assay_unmixed(spark: SparkSession, d: str) -> DataFrame:
     """Replicates with one relation per key."""
-    return assay(spark, d).filter(F.col("relation") == F.element_at(F.array(F.lit(""), F.lit("<"), F.lit(">")), (F.col("key") % 3 + 1).cast("int")))
+    return assay(spark, d).withColumn("relation", F.element_at(F.array(F.lit(""), F.lit("<"), F.lit(">")), (F.col("key") % 3 + 1).cast("int")))
 
 
 def sparse_tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def sparse_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 ASSAY = "assay AS (SELECT l_partkey AS key, l_quantity AS value, CASE l_returnflag WHEN 'A' THEN '>' WHEN 'R' THEN '<' ELSE '' END AS relation, l_orderkey || '_' || l_linenumber AS id, l_shipdate AS date FROM lineitem)"
-UNMIXED = ASSAY + ", unmixed AS (SELECT * FROM assay WHERE relation = (CASE key % 3 WHEN 0 THEN '' WHEN 1 THEN '<' ELSE '>' END))"
+UNMIXED = ASSAY + ", unmixed AS (SELECT key, value, id, date, CASE key % 3 WHEN 0 THEN '' WHEN 1 THEN '<' ELSE '>' END AS relation FROM assay)"
 SPARSE = "sparse AS (SELECT l_partkey AS key, CASE WHEN (l_partkey + 0) % 4 <> 0 THEN avg(l_quantity) FILTER (WHERE l_returnflag = 'A') END AS ta, CASE WHEN (l_partkey + 1) % 4 <> 0 THEN avg(l_quantity) FILTER (WHERE l_returnflag = 'N') END AS tn, CASE WHEN (l_partkey + 2) % 4 <> 0 THEN avg(l_quantity) FILTER (WHERE l_returnflag = 'R') END AS tr FROM lineitem GROUP BY l_partkey)"
 HTR = "htr3a_dtc_smiles_curated"
 
@@ -103,9 +103,9 @@ def classify_thresholds(spark, d):
     return curate.classify_column(table(spark, d, HTR), "pic50", [6.5, 5.0], "class").select("rec_id", "class")
 
 
-@R.query("SELECT o_orderkey AS id, o_totalprice AS v FROM orders UNION ALL SELECT o_orderkey, o_totalprice / 2 FROM orders WHERE o_orderkey % 3 = 0")
+@R.query("SELECT o_orderkey AS id, o_totalprice AS v FROM orders UNION ALL SELECT o_orderkey, o_totalprice / 2 FROM orders WHERE o_orderstatus = 'F'")
 def extra_results_unpivot(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / 2).alias("extra"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") / 2).alias("extra"))
     return curate.stack_extra_result(o, "v", "extra")
 
 
@@ -131,12 +131,12 @@ def prediction_frame(spark, d):
     return wide.select("id", "a_pred", "n_pred", "a_std", "n_std")
 
 
-@R.query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice * 2 END AS pred FROM orders")
+@R.query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS id, CASE WHEN o_totalprice > 50000 THEN o_totalprice * 2 END AS pred FROM orders")
 def predict_order_restore(spark, d):
     from replicata.operators import joins
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
-    return joins.restore_order(o, "id", o.filter("id % 7 <> 0").select("id", (F.col("o_totalprice") * 2).alias("pred")), ["pred"])
+    return joins.restore_order(o, "id", o.filter("o_totalprice > 50000").select("id", (F.col("o_totalprice") * 2).alias("pred")), ["pred"])
 
 
 @R.query("SELECT l_partkey AS model, UNNEST(['mae', 'n']) AS metric, UNNEST([round(avg(abs(l_extendedprice - 20000)), 7), count(*)::DOUBLE]) AS score FROM lineitem GROUP BY l_partkey")
