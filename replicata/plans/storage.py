@@ -50,3 +50,12 @@ def release(df: DataFrame | None) -> None:
     jvm = df.sparkSession.sparkContext._jvm  # noqa: SLF001
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly Python work: as it is when its scan has enough partitions, else dealt out round-robin.
+
+    A large table has more splits than cores and is left alone; only a table of a few files is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
