@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replicata.plans.storage import materialize
+from replicata.plans.storage import materialize, spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the published split pattern of the byte-level vocabulary.
@@ -44,7 +44,7 @@ def count_tokens(docs: DataFrame, folder: str = TOKENIZER_DIR, name: str = "byte
             sizes = [len(enc.encode_ordinary(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
 class Stock:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replicata.plans.storage import materialize, release
+from replicata.plans.storage import materialize, release, spread
 
 # Shapes of identifiers, street words, titles.
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -251,7 +251,7 @@ def pattern_graph(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 cols = [pa.array([k[i] for k in keys]) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([counts[k] for k in keys], pa.int64())], ["kind", "pattern", "instance", "seed", "n"])
 
-    graph = docs.filter("text is not null and text <> ''").select("text").mapInArrow(run, _GRAPH)
+    graph = spread(docs.filter("text is not null and text <> ''").select("text")).mapInArrow(run, _GRAPH)
     return graph.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
@@ -368,5 +368,5 @@ def find_pii(docs: DataFrame, lexicon: DataFrame, accept: float = 0.3, reject: f
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "kind", "pii_value"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    source = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     return source.mapInArrow(run, "doc_id bigint, text string" if redacted else "doc_id bigint, kind string, pii_value string")
