@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replicata.plans.storage import materialize
+
 
 def _cut(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of n-gram ``i`` of a text of ``length`` cut into ``parts``: the last ones are longer."""
@@ -75,10 +77,11 @@ def overlap_pairs(rows: DataFrame, texts: DataFrame, d: int = 2) -> DataFrame:
     split, fold or subset take part in nothing.  Each pair comes out once.
     """
     scope = ["split_uuid", "fold"]
-    r = rows.filter("key is not null and subset is not null and split_uuid is not null and fold is not null").select("row_id", *scope, (F.col("subset") == "train").alias("is_train"), "key")
+    r = materialize(rows.filter("key is not null and subset is not null and split_uuid is not null and fold is not null").select("row_id", *scope, (F.col("subset") == "train").alias("is_train"), "key"))
     train, evaluation = r.filter("is_train").drop("is_train"), r.filter("not is_train").drop("is_train")
     same = evaluation.withColumnRenamed("row_id", "e").join(train.withColumnRenamed("row_id", "t"), [*scope, "key"]).select("e", "t")
-    known = texts.dropna(subset=["key", "text"]).select("key", "text").distinct()
+    # Both are read several times below: their forms are made once.
+    known = materialize(texts.dropna(subset=["key", "text"]).select("key", "text").distinct())
     # One row per split, fold, key and text before n-grams are made: repeated rows of a key cost nothing there.
     with_text = lambda x: x.join(known, "key")
     near = near_texts(with_text(evaluation.select(*scope, "key").distinct()), with_text(train.select(*scope, "key").distinct()), scope, d)
