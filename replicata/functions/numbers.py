@@ -36,8 +36,8 @@ def classify(c: Column, thresholds: list[float], right: bool = True) -> Column:
 
 
 def predict_binding(activity: Column, conc: Column, ki_to_ic50: float = 1.0) -> Column:
-    """Fraction bound at a concentration in nM, from an activity on the p scale."""
-    return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), F.lit(9.0) - activity) * F.lit(ki_to_ic50) / conc)
+    """Fraction bound at a concentration in nM, from an activity on the p scale; null for a concentration of 0."""
+    return F.lit(1.0) / (F.lit(1.0) + F.try_divide(F.pow(F.lit(10.0), F.lit(9.0) - activity) * F.lit(ki_to_ic50), conc))
 
 
 def argmax_class(p: Column) -> Column:

@@ -48,7 +48,7 @@ def classification_metrics(df: DataFrame, real: str, prob: str, by: list[str], c
     """MET4, 5, 7, 8: precision, recall, npv, accuracy, bal_accuracy, kappa, mcc; 0 where a denominator is 0."""
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     n = tp + fp + tn + fn
-    chance = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / n
+    chance = _ratio((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n)
     out = {
         "precision": _ratio(tp, tp + fp),
         "recall": _ratio(tp, tp + fn),
@@ -162,4 +162,4 @@ def wasserstein(df: DataFrame, value: str, subset: str, a: str, b: str) -> DataF
     least = placed.groupBy("_p").agg(F.min("v").alias("least")).select("_p", F.lead("least").over(Window.orderBy("_p")).alias("following"))
     gaps = placed.withColumn("next", F.lead("v").over(inside)).join(F.broadcast(least), "_p").withColumn("gap", F.coalesce("next", "following") - F.col("v"))
     total = s.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    return gaps.crossJoin(F.broadcast(total)).agg(F.when((F.max("ta") > 0) & (F.max("tb") > 0), F.coalesce(F.sum(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb")) * F.col("gap")), F.lit(0.0))).alias("distance"))
+    return gaps.crossJoin(F.broadcast(total)).agg(F.when((F.max("ta") > 0) & (F.max("tb") > 0), F.coalesce(F.sum(F.abs(F.try_divide("ca", "ta") - F.try_divide("cb", "tb")) * F.col("gap")), F.lit(0.0))).alias("distance"))

@@ -96,6 +96,8 @@ def permutation_importance(model: Model, df: DataFrame, key: str, places: list[i
 
     rows = materialize(df.filter("y is not null and features is not null").select(key, "features", "y"))
     n = rows.count()
+    if not n:
+        raise ValueError("no rows to score")
     error = lambda d: model.transform(_vectors(d)).agg(F.avg(F.pow(F.col("prediction") - F.col("y"), F.lit(2.0))).alias("e"))
     base, out = error(rows).first().e, []
     for rep in range(repeats):

@@ -31,8 +31,12 @@ _OPS = {
 }
 
 
-def _predicate(key: str, want: object) -> Column:
+def _value(df: DataFrame, key: str) -> Column:
     c = F.col(key)
+    return no_nan(c) if df.select(c).dtypes[0][1] in ("double", "float") else c
+
+
+def _predicate(c: Column, want: object) -> Column:
     if isinstance(want, dict):
         return reduce(lambda a, b: a & b, [_OPS[op](c, v) for op, v in want.items()])
     if isinstance(want, (list, tuple)):
@@ -53,9 +57,9 @@ def match(df: DataFrame, query: dict[str, object]) -> DataFrame:
             return df.limit(0)
         (extrema if isinstance(v, (list, tuple)) and v[0] in ("min", "max") else plain).append((k, v))
     for k, v in plain:
-        df = df.filter(F.coalesce(_predicate(k, v), F.lit(False)))
+        df = df.filter(F.coalesce(_predicate(_value(df, k), v), F.lit(False)))
     for k, (how, _) in sorted(extrema, key=lambda x: (x[1][1] is None, x[1][1] or 0)):
-        c = no_nan(F.col(k).cast("double")) if dict(df.select(k).dtypes).get(k.split(".")[-1]) in ("double", "float") else F.col(k)
+        c = _value(df, k)
         best = df.agg((F.max(c) if how == "max" else F.min(c)).alias("_best"))
         df = df.crossJoin(F.broadcast(best)).filter(c == F.col("_best")).drop("_best")
     return df
@@ -153,8 +157,8 @@ def feature_stats(df: DataFrame, features: str, label: str | None = None) -> Dat
             agg += [F.count(x).alias(f"_n{v}"), F.avg(x).alias(f"_m{v}"), F.var_samp(x).alias(f"_v{v}")]
     g = long.groupBy("feature").agg(*agg)
     if label:
-        pooled = ((F.col("_n1") - 1) * F.col("_v1") + (F.col("_n0") - 1) * F.col("_v0")) / (F.col("_n1") + F.col("_n0") - 2)
-        t = F.try_divide(F.col("_m1") - F.col("_m0"), F.sqrt(pooled * (1 / F.col("_n1") + 1 / F.col("_n0"))))
+        pooled = F.try_divide((F.col("_n1") - 1) * F.col("_v1") + (F.col("_n0") - 1) * F.col("_v0"), F.col("_n1") + F.col("_n0") - 2)
+        t = F.try_divide(F.col("_m1") - F.col("_m0"), F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("_n1")) + F.try_divide(F.lit(1.0), F.col("_n0")))))
         g = g.withColumn("t", t).drop(*[f"_{c}{v}" for c in "nmv" for v in (0, 1)])
     return g
 

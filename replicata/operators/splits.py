@@ -135,7 +135,7 @@ def ratio_fitness(df: DataFrame, tasks: list[str], wanted: dict[str, float]) ->
     """SPL9b: one row ``fitness``: 1 - distance of the least, median and largest task share of each subset from the wanted one, over 3; 0 if a share is 0."""
     have = df.groupBy("subset").agg(*[F.count(t).cast("double").alias(t) for t in tasks])
     total = df.filter(F.col("subset").isin(list(wanted))).agg(*[F.count(t).cast("double").alias(f"_{t}") for t in tasks])
-    shares = have.filter(F.col("subset").isin(list(wanted))).crossJoin(F.broadcast(total)).select("subset", F.array_sort(F.array(*[F.col(t) / F.col(f"_{t}") for t in tasks])).alias("s"))
+    shares = have.filter(F.col("subset").isin(list(wanted))).crossJoin(F.broadcast(total)).select("subset", F.array_sort(F.array(*[F.coalesce(F.try_divide(F.col(t), F.col(f"_{t}")), F.lit(0.0)) for t in tasks])).alias("s"))
     mid = (len(tasks) - 1) // 2
     median = F.element_at("s", mid + 1) if len(tasks) % 2 else (F.element_at("s", mid + 1) + F.element_at("s", mid + 2)) / 2
     w = F.element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col("subset"))

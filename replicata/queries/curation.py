@@ -154,7 +154,7 @@ def melt_terms(spark, d):
 @R.query("""WITH x AS (SELECT row_id, list_transform(string_split(layer_sizes, ','), lambda v: v::INT) AS l FROM pred_df WHERE layer_sizes IS NOT NULL)
 SELECT row_id, len(l)::INT AS n_layers, round(list_avg(l), 6) AS mean_size, list_aggregate(l, 'product')::BIGINT AS product FROM x""")
 def layer_stats(spark, d):
-    p = table(spark, d, "pred_df").filter("layer_sizes is not null").select("row_id", F.transform(F.split("layer_sizes", ","), lambda x: F.trim(x).cast("int")).alias("l"))
+    p = table(spark, d, "pred_df").filter("layer_sizes is not null").select("row_id", F.transform(F.split("layer_sizes", ","), lambda x: F.trim(x).try_cast("int")).alias("l"))
     total = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return p.select("row_id", F.size("l").alias("n_layers"), r6(total / F.size("l"), "mean_size"), F.aggregate("l", F.lit(1).cast("bigint"), lambda a, x: a * x).alias("product"))
 
