@@ -9,38 +9,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replicata.plans.skew import HEAVY_ROWS, join_per_key
 from replicata.plans.storage import materialize, release
 
 
-def shared_entity_edges(records: DataFrame) -> DataFrame:
+def shared_entity_edges(records: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Edges ``(u, v)``, u > v, from each record to the smallest record of each of its entities.
 
     ``records``: ``node, entity``.  An entity of any size gives one edge per record, never all pairs; its smallest record
-    comes from a partial aggregate.
+    comes from a partial aggregate, and its records are dealt to several tasks beyond ``heavy_rows``.
     """
-    pairs = records.filter("node is not null and entity is not null").select("node", "entity").distinct()
-    least = pairs.groupBy("entity").agg(F.min("node").alias("v"))
-    return pairs.join(least, "entity").filter("node > v").select(F.col("node").alias("u"), "v").distinct()
+    pairs = materialize(records.filter("node is not null and entity is not null").select("node", "entity").distinct())
+    least = materialize(pairs.groupBy("entity").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1"))
+    return join_per_key(pairs, least, ["entity"], "n", heavy_rows).filter("node > v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, heavy_rows: int) -> DataFrame:
     """Every neighbour larger than u is linked to the smallest in u's neighbourhood, u included."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("w"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "w").alias("m"), "n")
+    return join_per_key(both.filter("v > u"), least, ["u"], "n", heavy_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, heavy_rows: int) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    near = e.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    near = join_per_key(e, least, ["u"], "n", heavy_rows).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """``node, component`` for every node of ``edges`` (``u, v`` with u > v); the component is its smallest node.
 
-    Each round writes its edges to the shared folder (lost executors cost one round at most) and ends when a round leaves the edges
+    A node with more than ``heavy_rows`` edges is dealt to several tasks.  Each round writes its edges to the shared folder (lost executors cost one round at most) and ends when a round leaves the edges
     as they were, by count and by an order-free 128-bit sum of hashes; every edge then links a node to the smallest of its component.  Null ends
     and loops are ignored; an empty graph has no components.
     """
@@ -48,7 +49,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     half = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)"))
     seen = e.agg(F.count("*"), half(1), half(2)).first()
     while True:
-        nxt = materialize(_small_star(_large_star(e)))
+        large = materialize(_large_star(e, heavy_rows))
+        nxt = materialize(_small_star(large, heavy_rows))
+        release(large)
         now = nxt.agg(F.count("*"), half(1), half(2)).first()
         release(e)
         e = nxt
