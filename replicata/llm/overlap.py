@@ -31,43 +31,68 @@ def _probe_shifts(d: int) -> list[tuple[int, int, int]]:
     return [(diff, i, s) for diff in range(-d, d + 1) for i in range(d + 1) for s in range(-d, d + 1) if max(abs(s), i) + abs(diff - s) <= d]
 
 
+def _rest(text: Column, start: Column, size: Column, cut_start: Column, length: Column) -> Column:
+    """The longer side of a text beside its n-gram at ``start``; which side that is follows from the training text's ``cut_start`` and ``length``."""
+    left = cut_start - 1 >= length - (cut_start + size - 1)
+    return F.when(left, F.substring(text, 1, start - 1)).otherwise(F.substring(text, start + size, F.length(text)))
+
+
 def train_ngrams(train: DataFrame, scope: list[str], d: int) -> DataFrame:
-    """Each training text's d + 1 disjoint n-grams as 64-bit hashes ``h`` over scope, length, place and n-gram."""
-    n = F.length("text")
+    """Each training text's d + 1 disjoint n-grams as 64-bit hashes ``h`` over scope, length, place and n-gram, and what lies beside each (``rest``)."""
+    text, n = F.col("text"), F.length("text")
     keys = []
     for i in range(d + 1):
         start, size = _cut(n, i, d + 1)
-        keys.append(F.struct(F.xxhash64(*scope, n, F.lit(i), F.substring(F.col("text"), start, size)).alias("h"), F.lit(i).alias("i")))
-    return train.select(*scope, F.col("text").alias("train_text"), F.inline(F.array(*keys)))
+        keys.append(F.struct(F.xxhash64(*scope, n, F.lit(i), F.substring(text, start, size)).alias("h"), F.lit(i).alias("i"), _rest(text, start, size, start, n).alias("rest")))
+    return train.select(*scope, text.alias("train_text"), F.inline(F.array(*keys)))
 
 
 def eval_ngrams(evaluation: DataFrame, scope: list[str], d: int) -> DataFrame:
-    """The n-grams of each evaluation text that a training text within d edits may have, as hashes like :func:`train_ngrams`."""
-    n = F.length("text")
+    """The n-grams of each evaluation text that a training text within d edits may have, as hashes and rests like :func:`train_ngrams`."""
+    text, n = F.col("text"), F.length("text")
     keys = []
     for diff, i, s in _probe_shifts(d):
-        start, size = _cut(n + diff, i, d + 1)
-        start = start - s
+        cut_start, size = _cut(n + diff, i, d + 1)
+        start = cut_start - s
         ok = (n + diff >= 0) & (start >= 1) & (start + size - 1 <= n)
-        keys.append(F.when(ok, F.struct(F.xxhash64(*scope, n + diff, F.lit(i), F.substring(F.col("text"), start, size)).alias("h"), F.lit(i).alias("i"))))
-    probes = evaluation.select(*scope, F.col("text").alias("eval_text"), F.explode(F.array_compact(F.array(*keys))).alias("p"))
-    return probes.select(*scope, "eval_text", "p.h", "p.i").distinct()
+        key = F.struct(F.xxhash64(*scope, n + diff, F.lit(i), F.substring(text, start, size)).alias("h"), F.lit(i).alias("i"), _rest(text, start, size, cut_start, n + diff).alias("rest"))
+        keys.append(F.when(ok, key))
+    probes = evaluation.select(*scope, text.alias("eval_text"), F.explode(F.array_compact(F.array(*keys))).alias("p"))
+    return probes.select(*scope, "eval_text", "p.h", "p.i", "p.rest").distinct()
+
 
+def _hits(e: DataFrame, t: DataFrame, scope: list[str]) -> DataFrame:
+    return e.withColumnRenamed("i", "ei").join(t.withColumnRenamed("i", "ti"), ["h", *scope]).filter("ei = ti").select(*scope, "eval_text", "train_text", F.col("ei").alias("i"))
 
-def near_texts(evaluation: DataFrame, train: DataFrame, scope: list[str], d: int = 2) -> DataFrame:
+
+def near_texts(evaluation: DataFrame, train: DataFrame, scope: list[str], d: int = 2, heavy_pairs: int = 10_000_000, depth: int = 0) -> DataFrame:
     """Pairs of texts at most ``d`` edits apart inside equal ``scope``: ``*scope, eval_text, train_text, containment, distance``.
 
     Both sides have ``*scope, text``; repeated rows count once, null texts and null scopes match nothing, the empty text is a
     text.  ``containment``: the share of the training text's d + 1 n-grams found in the evaluation text.
     Hits shrink to one row per pair by a partial aggregate before they are verified.
+
+    An n-gram that would give more than ``heavy_pairs`` pairs is not paired out: what lies beside it on the longer side must be within
+    d edits too, so those rests are matched by the same method with the n-gram in their scope, and only matching rests are paired.
+    This goes on until rests are short; it loses nothing.
     """
     clean = lambda x: x.dropna(subset=[*scope, "text"]).select(*scope, "text").distinct()
-    e, t = eval_ngrams(clean(evaluation), scope, d), train_ngrams(clean(train), scope, d)
-    hits = e.withColumnRenamed("i", "ei").join(t.withColumnRenamed("i", "ti"), ["h", *scope]).filter("ei = ti")
-    close = F.levenshtein("eval_text", "train_text", d)
-    near = hits.withColumn("distance", close).filter("distance >= 0")
-    pairs = near.groupBy(*scope, "eval_text", "train_text").agg((F.count_distinct("ei") / (d + 1)).alias("containment"), F.min("distance").alias("distance"))
-    return pairs
+    e, t = materialize(eval_ngrams(clean(evaluation), scope, d)), materialize(train_ngrams(clean(train), scope, d))
+    sizes = e.groupBy("h").agg(F.count("*").alias("ne")).join(t.groupBy("h").agg(F.count("*").alias("nt")), "h")
+    heavy = materialize(sizes.filter(F.col("ne") * F.col("nt") > heavy_pairs).select("h"))
+    if depth >= 3 or heavy.isEmpty():
+        hits = _hits(e.drop("rest"), t.drop("rest"), scope)
+    else:
+        light = lambda x: x.join(heavy, "h", "left_anti").drop("rest")
+        names = {"h": f"h{depth}", "i": f"i{depth}"}
+        eh, th = (x.join(heavy, "h", "left_semi").withColumnsRenamed(names) for x in (e, t))
+        inner = [*scope, *names.values()]
+        rests = near_texts(eh.select(*inner, F.col("rest").alias("text")), th.select(*inner, F.col("rest").alias("text")), inner, d, heavy_pairs, depth + 1)
+        pairs = rests.select(*inner, F.col("eval_text").alias("rest"), F.col("train_text").alias("other"))
+        met = eh.join(pairs, [*inner, "rest"]).drop("rest").join(th.withColumnRenamed("rest", "other"), [*inner, "other"]).withColumnRenamed(names["i"], "i")
+        hits = _hits(light(e), light(t), scope).unionByName(met.select(*scope, "eval_text", "train_text", "i"))
+    near = hits.withColumn("distance", F.levenshtein("eval_text", "train_text", d)).filter("distance >= 0")
+    return near.groupBy(*scope, "eval_text", "train_text").agg((F.count_distinct("i") / (d + 1)).alias("containment"), F.min("distance").alias("distance"))
 
 
 def overlap_pairs(rows: DataFrame, texts: DataFrame, d: int = 2) -> DataFrame:

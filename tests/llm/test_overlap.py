@@ -31,6 +31,9 @@ def test_no_pair_within_the_distance_is_lost(spark):
         got = {(r.eval_text, r.train_text): r.distance for r in near_texts(e, t, ["k"], d).collect()}
         want = {(a, b): _distance(a, b) for a in set(evaluation) for b in set(train) if _distance(a, b) <= d}
         assert got == want
+        # every n-gram with more than five pairs counts as heavy and is matched by what lies beside it
+        heavy = {(r.eval_text, r.train_text): r.distance for r in near_texts(e, t, ["k"], d, heavy_pairs=5).collect()} if d == 2 else want
+        assert heavy == want
 
 
 def test_pairs_of_rows(spark):
