@@ -53,7 +53,10 @@ def descriptor_slot(compute: Callable[[str], list[float] | None]) -> Callable[[C
         except Exception:  # noqa: BLE001
             return None
 
-    return F.pandas_udf(lambda s: s.map(one), ArrayType(DoubleType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return F.pandas_udf(run, ArrayType(DoubleType()))
 
 
 def ngram_fingerprint(c: Column, n: int = 3, bits: int = 1024) -> Column:

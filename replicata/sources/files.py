@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, id_co
     elif kind in (".json", ".jsonl"):
         df = spark.read.option("multiLine", kind == ".json").json(path)
     elif kind in (".feather", ".pkl", ".xls", ".xlsx"):
-        import pandas as pd
-
         if os.path.getsize(path) > _DRIVER_BYTES:
             raise ValueError(f"{path} is larger than {_DRIVER_BYTES} bytes; convert it to parquet")
         read = {".feather": pd.read_feather, ".pkl": pd.read_pickle}.get(kind, pd.read_excel)
@@ -106,7 +105,6 @@ def archived_documents(spark: SparkSession, folder: str, member: str = "model_me
     import io
     import tarfile
 
-    import pandas as pd
     from pyspark.sql.types import StringType
 
     def run(s: pd.Series) -> pd.Series:
