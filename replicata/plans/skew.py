@@ -9,13 +9,15 @@ HEAVY_ROWS = 1_000_000
 MOST_HEAVY_KEYS = 10_000
 
 
-def join_per_key(big: DataFrame, per_key: DataFrame, keys: list[str], n: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def join_per_key(big: DataFrame, per_key: DataFrame, keys: list[str], n: str, heavy_rows: int = HEAVY_ROWS, at_most: int | None = None) -> DataFrame:
     """``big`` joined with the one row that ``per_key`` has for each key; ``n`` there counts the key's rows in ``big`` and drops out.
 
     A key with more rows than max(``heavy_rows``, all rows / 10 000) is dealt to as many tasks as it has times that number, its row in
     ``per_key`` repeated for each.  There are at most 10 000 such keys, which every task gets.  ``per_key`` is read three times and should be a
-    written table or a cheap aggregate.
+    written table or a cheap aggregate.  ``at_most``: a bound of all rows that is known already; if it is not above ``heavy_rows``, no key can be heavy.
     """
+    if at_most is not None and at_most <= heavy_rows:
+        return big.join(per_key.drop(n), keys)
     total = per_key.agg(F.sum(n)).first()[0] or 0
     limit = max(heavy_rows, -(-total // MOST_HEAVY_KEYS))
     if total <= limit:

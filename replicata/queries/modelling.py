@@ -238,7 +238,7 @@ def tanimoto_pairs(spark, d):
     return distance.tanimoto_pairs(f.filter("id % 20 = 0"), f, 64).withColumn("distance", F.round("distance", 6))
 
 
-@R.query(f"WITH {_RANKED} SELECT query_id, id, rank FROM k WHERE rank <= 5")
+@R.query(f"WITH {_RANKED} SELECT query_id, id, rank::INT AS rank FROM k WHERE rank <= 5")
 def knn_edges(spark, d):
     return distance.nearest(_queries(spark, d), _vectors(spark, d), 5, "euclidean", skip_self=True).select("query_id", "id", "rank")
 
