@@ -37,17 +37,18 @@ def _rest(text: Column, start: Column, size: Column, cut_start: Column, length:
     return F.when(left, F.substring(text, 1, start - 1)).otherwise(F.substring(text, start + size, F.length(text)))
 
 
-def train_ngrams(train: DataFrame, scope: list[str], d: int) -> DataFrame:
-    """Each training text's d + 1 disjoint n-grams as 64-bit hashes ``h`` over scope, length, place and n-gram, and what lies beside each (``rest``)."""
+def train_ngrams(train: DataFrame, scope: list[str], d: int, with_rest: bool = False) -> DataFrame:
+    """Each training text's d + 1 disjoint n-grams as 64-bit hashes ``h`` over scope, length, place and n-gram, and on demand what lies beside each (``rest``)."""
     text, n = F.col("text"), F.length("text")
     keys = []
     for i in range(d + 1):
         start, size = _cut(n, i, d + 1)
-        keys.append(F.struct(F.xxhash64(*scope, n, F.lit(i), F.substring(text, start, size)).alias("h"), F.lit(i).alias("i"), _rest(text, start, size, start, n).alias("rest")))
+        rest = [_rest(text, start, size, start, n).alias("rest")] if with_rest else []
+        keys.append(F.struct(F.xxhash64(*scope, n, F.lit(i), F.substring(text, start, size)).alias("h"), F.lit(i).alias("i"), *rest))
     return train.select(*scope, text.alias("train_text"), F.inline(F.array(*keys)))
 
 
-def eval_ngrams(evaluation: DataFrame, scope: list[str], d: int) -> DataFrame:
+def eval_ngrams(evaluation: DataFrame, scope: list[str], d: int, with_rest: bool = False) -> DataFrame:
     """The n-grams of each evaluation text that a training text within d edits may have, as hashes and rests like :func:`train_ngrams`."""
     text, n = F.col("text"), F.length("text")
     keys = []
@@ -55,10 +56,11 @@ def eval_ngrams(evaluation: DataFrame, scope: list[str], d: int) -> DataFrame:
         cut_start, size = _cut(n + diff, i, d + 1)
         start = cut_start - s
         ok = (n + diff >= 0) & (start >= 1) & (start + size - 1 <= n)
-        key = F.struct(F.xxhash64(*scope, n + diff, F.lit(i), F.substring(text, start, size)).alias("h"), F.lit(i).alias("i"), _rest(text, start, size, cut_start, n + diff).alias("rest"))
+        rest = [_rest(text, start, size, cut_start, n + diff).alias("rest")] if with_rest else []
+        key = F.struct(F.xxhash64(*scope, n + diff, F.lit(i), F.substring(text, start, size)).alias("h"), F.lit(i).alias("i"), *rest)
         keys.append(F.when(ok, key))
     probes = evaluation.select(*scope, text.alias("eval_text"), F.explode(F.array_compact(F.array(*keys))).alias("p"))
-    return probes.select(*scope, "eval_text", "p.h", "p.i", "p.rest").distinct()
+    return probes.select(*scope, "eval_text", "p.*")
 
 
 def _hits(e: DataFrame, t: DataFrame, scope: list[str]) -> DataFrame:
@@ -77,15 +79,19 @@ def near_texts(evaluation: DataFrame, train: DataFrame, scope: list[str], d: int
     This goes on until rests are short; it loses nothing.
     """
     clean = lambda x: x.dropna(subset=[*scope, "text"]).select(*scope, "text").distinct()
-    e, t = materialize(eval_ngrams(clean(evaluation), scope, d)), materialize(train_ngrams(clean(train), scope, d))
-    sizes = e.groupBy("h").agg(F.count("*").alias("ne")).join(t.groupBy("h").agg(F.count("*").alias("nt")), "h")
+    evaluation, train = materialize(clean(evaluation)), materialize(clean(train))
+    e, t = eval_ngrams(evaluation, scope, d), train_ngrams(train, scope, d)
+    # Pairs per n-gram from counts of hashes alone, summed before the shuffle.
+    both = e.select("h", F.lit(1).alias("ne"), F.lit(0).alias("nt")).unionByName(t.select("h", F.lit(0).alias("ne"), F.lit(1).alias("nt")))
+    sizes = both.groupBy("h").agg(F.sum("ne").alias("ne"), F.sum("nt").alias("nt"))
     heavy = materialize(sizes.filter(F.col("ne") * F.col("nt") > heavy_pairs).select("h"))
     if depth >= 3 or heavy.isEmpty():
-        hits = _hits(e.drop("rest"), t.drop("rest"), scope)
+        hits = _hits(e, t, scope)
     else:
-        light = lambda x: x.join(heavy, "h", "left_anti").drop("rest")
+        light = lambda x: x.join(heavy, "h", "left_anti")
         names = {"h": f"h{depth}", "i": f"i{depth}"}
-        eh, th = (x.join(heavy, "h", "left_semi").withColumnsRenamed(names) for x in (e, t))
+        dense = lambda x: x.join(heavy, "h", "left_semi").withColumnsRenamed(names).distinct()
+        eh, th = dense(eval_ngrams(evaluation, scope, d, with_rest=True)), dense(train_ngrams(train, scope, d, with_rest=True))
         inner = [*scope, *names.values()]
         rests = near_texts(eh.select(*inner, F.col("rest").alias("text")), th.select(*inner, F.col("rest").alias("text")), inner, d, heavy_pairs, depth + 1)
         pairs = rests.select(*inner, F.col("eval_text").alias("rest"), F.col("train_text").alias("other"))
