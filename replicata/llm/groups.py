@@ -24,17 +24,17 @@ def shared_entity_edges(records: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Dat
     return join_per_key(pairs, least, ["entity"], "n", heavy_rows).filter("node > v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _large_star(e: DataFrame, heavy_rows: int) -> DataFrame:
+def _large_star(e: DataFrame, heavy_rows: int, edges: int) -> DataFrame:
     """Every neighbour larger than u is linked to the smallest in u's neighbourhood, u included."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("w"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "w").alias("m"), "n")
-    return join_per_key(both.filter("v > u"), least, ["u"], "n", heavy_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return join_per_key(both.filter("v > u"), least, ["u"], "n", heavy_rows, edges).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame, heavy_rows: int) -> DataFrame:
+def _small_star(e: DataFrame, heavy_rows: int, edges: int) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
     least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    near = join_per_key(e, least, ["u"], "n", heavy_rows).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = join_per_key(e, least, ["u"], "n", heavy_rows, edges).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -49,8 +49,10 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Data
     half = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)"))
     seen = e.agg(F.count("*"), half(1), half(2)).first()
     while True:
-        large = materialize(_large_star(e, heavy_rows))
-        nxt = materialize(_small_star(large, heavy_rows))
+        large = _large_star(e, heavy_rows, seen[0])  # no step adds edges
+        if seen[0] > heavy_rows:
+            large = materialize(large)
+        nxt = materialize(_small_star(large, heavy_rows, seen[0]))
         release(large)
         now = nxt.agg(F.count("*"), half(1), half(2)).first()
         release(e)
