@@ -345,7 +345,8 @@ def _extractor(docs: DataFrame, lexicon: DataFrame, accept: float, reject: float
         word = r.pattern[2:]
         if r.pattern[0] == "W" and r.score >= 0.8 and r.seeds >= 10 and not known.has(word, known.given | known.family):
             leads.add(word)  # a word that stands before names is no part of them
-    return docs.sparkSession.sparkContext.broadcast(Extractor(known, patterns, leads, accept, reject)), scored
+    # Plain values only: a broadcast is pickled by reference, and executors need no copy of this package.
+    return docs.sparkSession.sparkContext.broadcast(([(r.token, r.role) for r in names], patterns, leads, accept, reject)), scored
 
 
 def find_pii(docs: DataFrame, lexicon: DataFrame, accept: float = 0.3, reject: float = 0.05, share: float = 1e-6, most_names: int = 1_000_000, redacted: bool = False) -> DataFrame:
@@ -358,7 +359,8 @@ def find_pii(docs: DataFrame, lexicon: DataFrame, accept: float = 0.3, reject: f
     shared, _ = _extractor(docs, lexicon, accept, reject, share, most_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = shared.value
+        known, *rest = shared.value
+        x = Extractor(Lexicon(known), *rest)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             if redacted:
