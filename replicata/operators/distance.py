@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_VALUES = 4_000_000  # numbers in a block of queries (32 MB)
+PAIR_VALUES = 4_000_000  # distances that a task holds at once (32 MB)
 
 
 def _matrix(column: pa.ListArray | pa.FixedSizeListArray) -> np.ndarray:
@@ -55,6 +56,14 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.vstack(rows)
 
 
+def _slices(b: pa.RecordBatch, queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A batch as matrices with their ids, so few rows each that their distances to all queries of a block stay bounded."""
+    step = max(1, PAIR_VALUES // max(1, queries))
+    for i in range(0, b.num_rows, step):
+        s = b.slice(i, step)
+        yield _matrix(s.column("v")), s.column("id").to_numpy(zero_copy_only=False)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str, skip_self: bool = False) -> DataFrame:
     """DST7: ``query_id, id, distance, rank`` (1 .. k) of the k nearest rows of each query, equal distances by the smaller id.
 
@@ -71,10 +80,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str, skip_self:
             qid, q = shared.value
             best_d = np.full((len(qid), k), np.inf)
             best_i = np.full((len(qid), k), np.iinfo(np.int64).max)
-            for b in batches:
-                x, xid = _matrix(b.column("v")), b.column("id").to_numpy(zero_copy_only=False)
-                if not len(x):
-                    continue
+            for x, xid in (s for b in batches for s in _slices(b, len(qid))):
                 d = distances(q, x, metric)
                 d[np.isnan(d)] = np.inf
                 if skip_self:
@@ -101,12 +107,10 @@ def pair_distances(queries: DataFrame, rows: DataFrame, metric: str, cutoff: flo
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            for b in batches:
-                x, xid = _matrix(b.column("v")), b.column("id").to_numpy(zero_copy_only=False)
-                if len(x):
-                    d = distances(q, x, metric)
-                    i, j = np.nonzero(~np.isnan(d) if cutoff is None else d <= cutoff)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(xid[j]), pa.array(d[i, j])], ["query_id", "id", "distance"])
+            for x, xid in (s for b in batches for s in _slices(b, len(qid))):
+                d = distances(q, x, metric)
+                i, j = np.nonzero(~np.isnan(d) if cutoff is None else d <= cutoff)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(xid[j]), pa.array(d[i, j])], ["query_id", "id", "distance"])
 
         parts = parts.unionByName(rows.filter("v is not null").select(F.col("id").cast("bigint").alias("id"), "v").mapInArrow(scan, schema))
     return parts

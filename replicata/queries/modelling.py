@@ -269,7 +269,7 @@ def neighbour_counts(spark, d):
 
 @R.query()
 def butina_clusters(spark, d):
-    return distance.butina(_queries(spark, d), "euclidean", 1.25)
+    return distance.butina(_vectors(spark, d), "euclidean", 1.25)
 
 
 _AD = _VEC + """, tr AS (SELECT * FROM e WHERE id % 20 = 1), own AS (SELECT a.id, b.id AS nb, list_distance(a.v, b.v) AS dist FROM tr a, tr b),
