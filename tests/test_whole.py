@@ -32,3 +32,16 @@ def test_slices_bound_the_distances(monkeypatch):
     parts = list(distance._slices(b, 5))
     assert [x.tolist() for _, x in parts] == [[0, 1], [2, 3], [4, 5], [6]]
     assert np.vstack([m for m, _ in parts]).tolist() == [[i, 0] for i in range(7)]
+
+
+def test_domain_trains_on_all_other_rows(spark, tmp_path):
+    d, k = _embeddings(spark, tmp_path, 90), 3
+    q, t = [i for i in range(90) if i % 20 == 0], [i for i in range(90) if i % 20]
+    own = {i: np.sort(d[i, t])[: k + 1].sum() / k for i in t}
+    near = {i: sorted(t, key=lambda j: (d[i, j], j))[:k] for i in q}
+    mean, std = np.mean(list(own.values())), np.std(list(own.values()))
+    z = {i: max((d[i, near[i]].mean() - mean) / std, 1e-6) for i in q}
+    density = {i: d[i, near[i]].mean() / np.mean([own[j] for j in near[i]]) for i in q}
+    for name, want in (("ad_zscore", z), ("ad_local_density", density)):
+        got = dict(rows(modelling.queries()[name](spark, str(tmp_path))))
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in q)
