@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replicata.plans.range_scan import range_sorted
@@ -263,11 +263,14 @@ def canonical_fields(fields: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def unified_table(files: DataFrame, wanted: list[str]) -> DataFrame:
-    """All valid files as one table: ``file_id, series_id, family, written_at`` and one text column for each canonical field in ``wanted``.
+    """All valid files as one table: ``file_id, series_id, family, written_at``, one text column for each canonical field in ``wanted``
+    and ``others``, a map of all that these columns do not hold.
 
     A field renamed anywhere is read under its canonical name; lists of one element and their element, numbers and their
     text, booleans and their text get one spelling.  If a file has several fields of one canonical name, the field that
     bears it wins, then the smaller name.  A wanted name that is not canonical stands for the canonical name of its group.
+    ``others`` has every remaining field under its canonical name, and fields that lost to another of their group under their own;
+    a null stays a key with a null value.  No key is lost: a field that is not canonical is the canonical name of no group.
     """
     fields = materialize(file_fields(files))
     canon = canonical_fields(fields, schema_changes(files))
@@ -277,5 +280,16 @@ def unified_table(files: DataFrame, wanted: list[str]) -> DataFrame:
     best = lambda w: F.min(F.when(F.col("canonical") == F.lit(w), F.struct((F.col("field") != F.lit(w)).alias("other"), "field", "value"))).getField("value").alias(w)
     names = {r.field: r.canonical for r in canon.filter(F.col("field").isin(wanted)).collect()}
     pick = [best(names.get(w, w)).alias(w) for w in wanted]
-    wide = named.groupBy("file_id").agg(*pick)
+    # Sorted, a group's best field stands first; equal fields (repeated files) stand side by side.
+    every = F.sort_array(F.collect_list(F.struct("canonical", (F.col("field") != F.col("canonical")).alias("other"), "field", "value"))).alias("_every")
+    wide = named.groupBy("file_id").agg(*pick, every)
+
+    def entry(x: Column, i: Column) -> Column:
+        before = F.get("_every", i - 1)
+        best, new = ~before["canonical"].eqNullSafe(x["canonical"]), ~before["field"].eqNullSafe(x["field"])
+        held = best & x["canonical"].isin([names.get(w, w) for w in wanted])
+        return F.when(new & ~held, F.struct(F.when(best, x["canonical"]).otherwise(x["field"]).alias("key"), x["value"].alias("value")))
+
+    others = F.map_from_entries(F.filter(F.transform("_every", entry), lambda e: e.isNotNull()))
+    wide = wide.select("file_id", *wanted, others.alias("others"))
     return files.select("file_id", "series_id", "family", "written_at").join(wide, "file_id")

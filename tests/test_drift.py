@@ -79,3 +79,9 @@ def test_unified_table(spark):
 def test_profile(spark):
     p = drift.field_profile(drift.file_fields(spark.createDataFrame([(1, 1, _at(0), '{"a": 1, "b": null}', "f"), (1, 2, _at(0), '{"a": "x"}', "f")], FILES)))
     assert {r.field: (r.n_files, r.n_number, r.n_text, r.n_null) for r in p.collect()} == {"a": (2, 1, 1, 0), "b": (1, 0, 0, 1)}
+
+
+def test_unified_table_keeps_every_field(spark):
+    files = [(1, 1, _at(0), '{"epochs": "5", "seed": 3, "note": null}', "f"), (1, 2, _at(1), '{"max_epochs": "5", "seed": 3}', "f"), (1, 3, _at(2), '{"max_epochs": 7, "epochs": 8, "seed": 4}', "f"), (1, 4, _at(3), '{"max_epochs": 7}', "f")]
+    got = drift.unified_table(spark.createDataFrame(files, FILES), ["max_epochs"])
+    assert {r.file_id: (r.max_epochs, r.others) for r in got.collect()} == {1: ("5", {"seed": "3", "note": None}), 2: ("5", {"seed": "3"}), 3: ("7", {"seed": "4", "epochs": "8"}), 4: ("7", {})}
