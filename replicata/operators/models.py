@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,30 +82,39 @@ def kfold_train_predict(df: DataFrame, kind: str, classification: bool, folds: i
     return out
 
 
-def _with_place(array: str, i: int, value: Column) -> Column:
-    return F.transform(array, lambda x, j: F.when(j == i, value).otherwise(x))
+PASS_VALUES = 50_000_000  # numbers of shuffled rows that are written at once (400 MB)
 
 
-def permutation_importance(model: Model, df: DataFrame, key: str, places: list[int], repeats: int, seed: int = 0) -> DataFrame:
+def permutation_importance(model: Model, df: DataFrame, key: str, places: list[int] | None = None, repeats: int = 60, seed: int = 0) -> DataFrame:
     """FI2: per feature the mean and deviation over repeats of how much the squared error grows when the feature is shuffled.
 
-    A shuffle gives each row the value of the next one in the order of a hash of its key: both sides get their place by a range sort.
+    ``places`` None: all places of the arrays.  A shuffle gives each row the value of the next one in the order of a hash of its key:
+    both sides get their place by a range sort.  All features of a repeat are scored in one pass, small tables with several repeats a pass.
     """
     from replicata.operators.joins import with_ordinal
-    from replicata.plans.storage import materialize
+    from replicata.plans.storage import materialize, release, spread
 
     rows = materialize(df.filter("y is not null and features is not null").select(key, "features", "y"))
-    n = rows.count()
+    n, width = rows.agg(F.count("*"), F.max(F.size("features"))).first()
     if not n:
         raise ValueError("no rows to score")
-    error = lambda d: model.transform(_vectors(d)).agg(F.avg(F.pow(F.col("prediction") - F.col("y"), F.lit(2.0))).alias("e"))
-    base, out = error(rows).first().e, []
-    for rep in range(repeats):
-        placed = materialize(with_ordinal(rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed), F.lit(rep))), "_h", key).drop("_h"))
-        shifted = placed.select(F.pmod(F.col("ordinal") + 1, F.lit(n)).alias("ordinal"), F.col("features").alias("_other"))
+    places = list(range(width)) if places is None else places
+    error = F.avg(F.pow(F.col("prediction") - F.col("y"), F.lit(2.0))).alias("e")
+    base, out = model.transform(_vectors(rows)).agg(error).first().e, []
+    step = max(1, PASS_VALUES // (n * max(1, width)))
+    for first in range(0, repeats, step):
+        reps = F.explode(F.array(*[F.lit(r) for r in range(first, min(first + step, repeats))])).alias("_rep")
+        placed = materialize(with_ordinal(rows.select("*", reps).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed), F.col("_rep"))), "_rep", "_h", key).drop("_h"))
+        # Each repeat has n ordinals in a row; the last row's next is the first of its repeat.
+        start = (F.col("_rep") - first) * n
+        shifted = placed.select((start + F.pmod(F.col("ordinal") - start + 1, F.lit(n))).alias("ordinal"), F.col("features").alias("_other"))
         both = materialize(placed.join(shifted, "ordinal"))
-        for i in places:
-            swapped = both.withColumn("features", _with_place("features", i, F.element_at("_other", i + 1)))
-            out.append((i, error(swapped.select(key, "features", "y")).first().e - base))
+        each = spread(both).select("_rep", "y", "features", "_other", F.explode(F.array(*[F.lit(i) for i in places])).alias("_i"))
+        value = F.array(F.element_at("_other", F.col("_i") + 1))
+        swapped = F.concat(F.slice("features", F.lit(1), F.col("_i")), value, F.slice("features", F.col("_i") + 2, F.size("features")))
+        scored = model.transform(_vectors(each.select("_rep", "_i", "y", swapped.alias("features")))).groupBy("_rep", "_i").agg(error)
+        out += [(r._i, r.e - base) for r in scored.collect()]
+        release(placed)
+        release(both)
     r = df.sparkSession.createDataFrame(out, "feature int, gain double")
     return r.groupBy("feature").agg(F.avg("gain").alias("importance"), F.stddev_pop("gain").alias("std"))

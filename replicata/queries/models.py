@@ -448,4 +448,4 @@ def permutation_importance(spark, d):
 
     data = _labelled(spark, d)
     m = models.fit(data.filter("subset = 'train'"), "linear", classification=False, seed=17)
-    return models.permutation_importance(m, data.filter("subset <> 'train'"), "id", [0, 1, 2, 3], repeats=2, seed=17)
+    return models.permutation_importance(m, data.filter("subset <> 'train'"), "id", repeats=60, seed=17)

@@ -45,3 +45,32 @@ def test_domain_trains_on_all_other_rows(spark, tmp_path):
     for name, want in (("ad_zscore", z), ("ad_local_density", density)):
         got = dict(rows(modelling.queries()[name](spark, str(tmp_path))))
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in q)
+
+
+def test_importance_has_all_features_and_repeats(spark, monkeypatch):
+    from replicata.operators import models
+
+    m = np.random.default_rng(5).normal(size=(40, 5))
+    df = spark.createDataFrame([(i, [float(x) for x in r], float(3 * r[1] - r[4])) for i, r in enumerate(m)], "id bigint, features array<double>, y double")
+    fitted = models.fit(df, "linear", classification=False)
+    got = {r.feature: r for r in models.permutation_importance(fitted, df, "id", seed=3, repeats=4).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[1].importance > got[4].importance > 0.1 and all(abs(got[i].importance) < 1e-6 for i in (0, 2, 3))
+    # one repeat a pass gives the same, and so does shuffling by hand
+    monkeypatch.setattr(models, "PASS_VALUES", 1)
+    single = {r.feature: r for r in models.permutation_importance(fitted, df, "id", seed=3, repeats=4).collect()}
+    assert all(abs(single[i].importance - got[i].importance) < 1e-9 and abs(single[i].std - got[i].std) < 1e-9 for i in got)
+    gains = []
+    for rep in range(4):
+        order = [r.id for r in df.selectExpr("id", f"xxhash64(id, 3, {rep}) AS h").orderBy("h", "id").collect()]
+        x = m[:, 1].copy()
+        for i, j in zip(order, order[-1:] + order[:-1], strict=True):
+            x[i] = m[j, 1]
+        gains.append(np.mean((3 * x - 3 * m[:, 1]) ** 2))
+    assert abs(got[1].importance - np.mean(gains)) < 1e-6 and abs(got[1].std - np.std(gains)) < 1e-6
+
+
+def test_importance_query_has_all_places(spark, tmp_path):
+    from replicata.queries import models as registered
+
+    _embeddings(spark, tmp_path, 120)
+    assert [r[0] for r in rows(registered.queries()["permutation_importance"](spark, str(tmp_path)).select("feature"))] == [0, 1, 2]
