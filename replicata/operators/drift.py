@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replicata.plans.range_scan import range_sorted
-from replicata.plans.storage import materialize
+from replicata.plans.skew import join_per_key
+from replicata.plans.storage import materialize, release
 
 CHANGES = "series_id bigint, file_id bigint, change_type string, field string, new_field string"
 _IGNORED = "comment"
@@ -27,6 +28,17 @@ def _refuse(_: str) -> None:
     raise ValueError("not JSON")
 
 
+class Literal(float):
+    """A number that remembers how it was written."""
+
+    __slots__ = ("text",)
+
+    def __new__(cls, text: str) -> Literal:
+        out = super().__new__(cls, text)
+        out.text = text
+        return out
+
+
 def flatten(body: str | None) -> dict[str, tuple[str, object]] | None:
     """Fields of a JSON text as ``name -> (type, value)``; None if it is not valid JSON.
 
@@ -36,7 +48,7 @@ def flatten(body: str | None) -> dict[str, tuple[str, object]] | None:
     if body is None:
         return None
     try:
-        tree = json.loads(body, parse_constant=_refuse)
+        tree = json.loads(body, parse_constant=_refuse, parse_float=Literal)
     except (ValueError, RecursionError):
         return None
     out: dict[str, tuple[str, object]] = {}
@@ -70,6 +82,24 @@ def _plain(v: object) -> object:
     return [_plain(x) for x in v] if isinstance(v, list) else v
 
 
+def written(v: object) -> str:
+    """JSON text of a value with its numbers as they were written; only blanks between elements are made uniform."""
+    if isinstance(v, Literal):
+        return v.text
+    if isinstance(v, list):
+        return "[" + ", ".join(map(written, v)) + "]"
+    if isinstance(v, dict):
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {written(x)}" for k, x in v.items()) + "}"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def elements(v: object) -> list[str] | None:
+    """The one type that values of all types have in common: a list of texts; a text is its only element, as it is, and null stays null."""
+    if v is None:
+        return None
+    return [x if isinstance(x, str) else written(x) for x in (v if isinstance(v, list) else [v])]
+
+
 def value_sketch(v: object) -> str:
     """A 64-bit sketch of one value; equal values have equal sketches."""
     return hashlib.blake2b(json.dumps(_plain(v), sort_keys=True).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
@@ -156,14 +186,21 @@ def differences(old: dict[str, str], new: dict[str, str]) -> list[tuple[str, str
 
 _VERSION = "series_id bigint, written_at timestamp_ntz, file_id bigint, fields string"
 _DIFF = CHANGES + ", edge string, pid int, is_tail boolean"
+_ENTRIES = "array<struct<field: string, json_type: string, elements: array<string>>>"
+_ENTRY = pa.list_(pa.struct([("field", pa.string()), ("json_type", pa.string()), ("elements", pa.list_(pa.string()))]))
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per valid body: the columns beside it, names with types and sketches, and where asked for (an empty column ``entries``) all values."""
     for b in batches:
         parsed = [flatten(x) for x in b.column("body").to_pylist()]
         keep = pa.array([i for i, f in enumerate(parsed) if f is not None], pa.int64())
-        fields = [json.dumps({k: f"{t}:{value_sketch(v)}" for k, (t, v) in f.items()}) for f in parsed if f is not None]
-        yield pa.RecordBatch.from_arrays([b.column(c).take(keep) for c in ("series_id", "written_at", "file_id")] + [pa.array(fields, pa.string())], ["series_id", "written_at", "file_id", "fields"])
+        valid = [f for f in parsed if f is not None]
+        out = {c: b.column(c).take(keep) for c in b.schema.names if c not in ("body", "entries")}
+        out["fields"] = pa.array([json.dumps({k: f"{t}:{value_sketch(v)}" for k, (t, v) in f.items()}) for f in valid], pa.string())
+        if "entries" in b.schema.names:
+            out["entries"] = pa.array([[{"field": k, "json_type": t, "elements": elements(v)} for k, (t, v) in sorted(f.items())] for f in valid], _ENTRY)
+        yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
 def _diff_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +243,17 @@ def schema_changes(files: DataFrame) -> DataFrame:
     ``file_id``.  Null and invalid bodies and rows with a null series are left out; a series' first file changes nothing;
     repeated rows change nothing.  Returns the columns of ``CHANGES``.
 
-    Bodies shrink to names, types and 64-bit sketches before the one range-partitioned sort; a series of any size spreads
-    over partitions, and only the two outermost versions of each partition are compared across (two rows a partition).
+    Bodies shrink to names, types and 64-bit sketches, which are written once, before the one range-partitioned sort (whose bounds are sampled
+    from what was written); a series of any size spreads over partitions, and only the two outermost versions of each partition are compared
+    across (two rows a partition).
     """
-    versions = files.filter("series_id is not null and body is not null").select("series_id", "written_at", "file_id", "body").mapInArrow(_profile, _VERSION)
+    bodies = files.filter("series_id is not null and body is not null").select("series_id", "written_at", "file_id", "body")
+    return _changes(materialize(bodies.mapInArrow(_profile, _VERSION)))
+
+
+def _changes(versions: DataFrame) -> DataFrame:
+    """The changes between written versions; those with a null series are left out."""
+    versions = versions.filter("series_id is not null").select("series_id", "written_at", "file_id", "fields")
     scanned = materialize(range_sorted(versions, "series_id", "written_at", "file_id").mapInArrow(_diff_sorted, _DIFF))
     w = Window.partitionBy("series_id").orderBy("pid", "is_tail")
     edges = scanned.filter("edge is not null").withColumn("old", F.lag("edge").over(w))
@@ -226,7 +270,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for file, family, body in zip(*(b.column(c).to_pylist() for c in ("file_id", "family", "body")), strict=True):
             for k, (t, v) in (flatten(body) or {}).items():
-                rows.append((file, family, k, t, v if t == "text" else None if v is None else json.dumps(_plain(v)), value_sketch(v)))
+                rows.append((file, family, k, t, v if t == "text" else None if v is None else written(v), value_sketch(v)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -242,54 +286,89 @@ def field_profile(fields: DataFrame) -> DataFrame:
     return fields.groupBy("family", "field").agg(F.count("*").alias("n_files"), *[n(t) for t in ("text", "number", "boolean", "list", "null")], F.approx_count_distinct("sketch").alias("distinct_values"))
 
 
-def canonical_fields(fields: DataFrame, changes: DataFrame) -> DataFrame:
-    """``field, canonical``: fields that renames connect get the name most files use (ties: the smaller name).
+def _with_family(rows: DataFrame, per_family: DataFrame) -> DataFrame:
+    """``rows`` with the row that ``per_family`` has for their family, nulls if none; a family with very many rows is dealt to several tasks."""
+    key = F.concat(F.lit("f"), F.col("family"))
+    keyed = rows.withColumn("_f", F.coalesce(key, F.lit("n")))
+    sizes = keyed.groupBy("_f").agg(F.count("*").alias("_n"))
+    one = materialize(sizes.join(per_family.withColumn("_f", F.coalesce(key, F.lit("n"))).drop("family"), "_f", "left"))
+    return join_per_key(keyed, one, ["_f"], "_n").drop("_f")
+
+
+def canonical_fields(entries: DataFrame, renames: DataFrame, together: float = 0.5) -> DataFrame:
+    """``family, field, canonical``: fields of a family that renames connect get the name most of its files use (ties: the smaller name).
+
+    ``entries``: ``family, names`` (the field names of one file); ``renames``: ``family, field, new_field``.  Two names of one thing are not used
+    side by side: a rename between names that stand together in more than the share ``together`` of the files of the rarer one is an accident of
+    equal values and connects nothing.  The share is of all files, so that the size of the data decides nothing.  Null families are a family.
 
     The vocabulary of field names is what is connected here, not the files: the edges are distinct pairs of names, and
     labels spread along them by joins until nothing changes.
     """
-    uses = fields.groupBy("field").agg(F.count("*").alias("n"))
-    pairs = changes.filter("change_type = 'renamed'").groupBy("field", "new_field").agg(F.count("*").alias("support"))
-    edges = materialize(pairs.select(F.col("field").alias("a"), F.col("new_field").alias("b")).unionByName(pairs.select(F.col("new_field").alias("a"), F.col("field").alias("b"))).distinct())
-    rank = F.struct((-F.col("n")).alias("r"), F.col("field").alias("name"))
-    labels = materialize(uses.select("field", rank.alias("best")))
+    uses = materialize(entries.select("family", F.explode("names").alias("field")).groupBy("family", "field").agg(F.count("*").alias("n")))
+    pairs = renames.select("family", F.least("field", "new_field").alias("a"), F.greatest("field", "new_field").alias("b")).distinct()
+    partners = materialize(pairs.groupBy("family", "a").agg(F.collect_set("b").alias("bs")))
+    per_family = partners.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("a", "bs"))).alias("_partners"))
+    candidates = _with_family(entries, per_family).select("family", "names", F.explode(F.filter("names", lambda x: F.map_contains_key("_partners", x))).alias("a"), "_partners")
+    met = candidates.select("family", "a", F.explode(F.array_intersect("names", F.try_element_at("_partners", F.col("a")))).alias("b")).groupBy("family", "a", "b").agg(F.count("*").alias("both"))
+
+    def beside(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
+        same = F.col("l.family").eqNullSafe(F.col("r.family"))
+        for p, q in on.items():
+            same = same & (F.col(f"l.{p}") == F.col(f"r.{q}"))
+        drop = {"family", *on.values()}
+        return left.alias("l").join(right.alias("r"), same, how).select("l.*", *[f"r.{c}" for c in right.columns if c not in drop])
+
+    known = partners.select("family", "a", F.explode("bs").alias("b"))
+    rated = beside(beside(beside(known, uses.withColumnRenamed("n", "na"), {"a": "field"}), uses.withColumnRenamed("n", "nb"), {"b": "field"}), met, {"a": "a", "b": "b"}, "left")
+    kept = rated.filter(F.coalesce("both", F.lit(0)) <= F.lit(together) * F.least("na", "nb")).select("family", "a", "b")
+    edges = materialize(kept.unionByName(kept.select("family", F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = materialize(uses.select("family", "field", F.struct((-F.col("n")).alias("r"), F.col("field").alias("name")).alias("best")))
+    release(partners)
     while True:
-        near = edges.join(labels, edges.b == labels.field).groupBy("a").agg(F.min("best").alias("near"))
-        nxt = materialize(labels.join(near, labels.field == near.a, "left").select("field", F.least("best", F.coalesce("near", "best")).alias("best"), (F.col("near") < F.col("best")).alias("moved")))
+        near = beside(edges, labels, {"b": "field"}).groupBy("family", "a").agg(F.min("best").alias("near"))
+        nxt = materialize(beside(labels, near, {"field": "a"}, "left").select("family", "field", F.least("best", F.coalesce("near", "best")).alias("best"), (F.col("near") < F.col("best")).alias("moved")))
         more = not nxt.filter("moved").isEmpty()
-        labels = nxt.drop("moved")
+        release(labels)
+        labels = nxt
         if not more:
-            return labels.select("field", F.col("best.name").alias("canonical"))
+            return labels.select("family", "field", F.col("best.name").alias("canonical"))
 
 
 def unified_table(files: DataFrame, wanted: list[str]) -> DataFrame:
-    """All valid files as one table: ``file_id, series_id, family, written_at``, one text column for each canonical field in ``wanted``
-    and ``others``, a map of all that these columns do not hold.
-
-    A field renamed anywhere is read under its canonical name; lists of one element and their element, numbers and their
-    text, booleans and their text get one spelling.  If a file has several fields of one canonical name, the field that
-    bears it wins, then the smaller name.  A wanted name that is not canonical stands for the canonical name of its group.
-    ``others`` has every remaining field under its canonical name, and fields that lost to another of their group under their own;
-    a null stays a key with a null value.  No key is lost: a field that is not canonical is the canonical name of no group.
+    """All valid files as one table: ``file_id, series_id, family, written_at``, one column for each canonical field in ``wanted``, ``others``, a
+    map of all that these columns do not hold, and ``conflicts``.
+
+    A field renamed anywhere in its family is read under its canonical name.  Types are unified to lists of texts: a list gives its elements, any
+    other value itself as its only element, as it was written; null stays null.  If a file has several fields of one canonical name, the field
+    that bears it wins, then the smaller name; the others stay in ``others`` under their own names and are named in ``conflicts``.  A wanted name
+    that is not canonical in a family stands for the canonical name of its group there.  No field is lost: one that is not canonical is the
+    canonical name of no group.  Repeated rows of a file come out repeatedly.
+
+    Bodies are parsed once and written with their fields; the map of its family's renamed fields is joined to each row.
+    Files without any field come out too, with nulls.
     """
-    fields = materialize(file_fields(files))
-    canon = canonical_fields(fields, schema_changes(files))
-    one = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r'^\[\s*"?|"?\s*\]$', ""), r'"\s*,\s*"|\s*,\s*', ","), r"^(True|False)$", "$1")
-    value = F.when(one.rlike("(?i)^(true|false)$"), F.lower(one)).otherwise(one)
-    named = fields.join(F.broadcast(canon) if canon.count() <= 100_000 else canon, "field").withColumn("value", value)
-    best = lambda w: F.min(F.when(F.col("canonical") == F.lit(w), F.struct((F.col("field") != F.lit(w)).alias("other"), "field", "value"))).getField("value").alias(w)
-    names = {r.field: r.canonical for r in canon.filter(F.col("field").isin(wanted)).collect()}
-    pick = [best(names.get(w, w)).alias(w) for w in wanted]
-    # Sorted, a group's best field stands first; equal fields (repeated files) stand side by side.
-    every = F.sort_array(F.collect_list(F.struct("canonical", (F.col("field") != F.col("canonical")).alias("other"), "field", "value"))).alias("_every")
-    wide = named.groupBy("file_id").agg(*pick, every)
-
-    def entry(x: Column, i: Column) -> Column:
-        before = F.get("_every", i - 1)
-        best, new = ~before["canonical"].eqNullSafe(x["canonical"]), ~before["field"].eqNullSafe(x["field"])
-        held = best & x["canonical"].isin([names.get(w, w) for w in wanted])
-        return F.when(new & ~held, F.struct(F.when(best, x["canonical"]).otherwise(x["field"]).alias("key"), x["value"].alias("value")))
-
-    others = F.map_from_entries(F.filter(F.transform("_every", entry), lambda e: e.isNotNull()))
-    wide = wide.select("file_id", *wanted, others.alias("others"))
-    return files.select("file_id", "series_id", "family", "written_at").join(wide, "file_id")
+    source = files.filter("body is not null").select("series_id", "written_at", "file_id", "family", "body", F.lit(None).cast(_ENTRIES).alias("entries"))
+    versions = materialize(source.mapInArrow(_profile, "series_id bigint, written_at timestamp_ntz, file_id bigint, family string, fields string, entries " + _ENTRIES))
+    family = versions.filter("series_id is not null").select("series_id", "file_id", "family").distinct()
+    renames = _changes(versions).filter("change_type = 'renamed'").join(family, ["series_id", "file_id"]).select("family", "field", "new_field")
+    canon = canonical_fields(versions.select("family", F.transform("entries", lambda e: e["field"]).alias("names")), renames)
+    names = F.map_from_entries(F.filter(F.collect_list(F.struct("field", "canonical")), lambda x: x["field"] != x["canonical"]))
+    read = _with_family(versions, canon.groupBy("family").agg(names.alias("_names")))
+
+    def place(e: Column) -> Column:
+        c = F.coalesce(F.try_element_at("_names", e["field"]), e["field"])
+        return F.struct(c.alias("canonical"), (e["field"] != c).alias("other"), e["field"].alias("field"), e["elements"].alias("elements"))
+
+    # Sorted, a group's best field stands first.
+    read = read.withColumn("_every", F.sort_array(F.transform("entries", place)))
+    best = F.filter("_every", lambda x, i: (i == 0) | ~F.get("_every", i - 1)["canonical"].eqNullSafe(x["canonical"]))
+    rest = F.filter("_every", lambda x, i: (i > 0) & F.get("_every", i - 1)["canonical"].eqNullSafe(x["canonical"]))
+    read = read.withColumns({"_best": best, "_rest": rest})
+    asked = {w: F.coalesce(F.try_element_at("_names", F.lit(w)), F.lit(w)) for w in wanted}
+    named = lambda c: lambda x: x["canonical"] == c
+    pick = [F.get(F.filter("_best", named(c)), F.lit(0))["elements"].alias(w) for w, c in asked.items()]
+    beyond = F.filter("_best", lambda x: ~F.array_contains(F.array(*asked.values()).cast("array<string>"), x["canonical"]))
+    entry = lambda key: lambda x: F.struct(x[key].alias("key"), x["elements"].alias("value"))
+    others = F.map_from_entries(F.concat(F.transform(beyond, entry("canonical")), F.transform("_rest", entry("field"))))
+    return read.select("file_id", "series_id", "family", "written_at", *pick, others.alias("others"), F.transform("_rest", lambda x: x["field"]).alias("conflicts"))

@@ -73,7 +73,30 @@ def test_assignment_is_best():
 def test_unified_table(spark):
     files = [(1, 1, _at(0), '{"epochs": "5", "l": ["64,32"]}', "f"), (1, 2, _at(1), '{"max_epochs": "5", "l": ["64,32"]}', "f"), (1, 3, _at(2), '{"max_epochs": 7}', "f"), (1, 4, _at(3), "nope", "f")]
     got = drift.unified_table(spark.createDataFrame(files, FILES), ["max_epochs", "l"]).select("file_id", "max_epochs", "l")
-    assert rows(got.fillna("-")) == [(1, "5", "64,32"), (2, "5", "64,32"), (3, "7", "-")]
+    assert sorted((r.file_id, r.max_epochs, r.l) for r in got.collect()) == [(1, ["5"], ["64,32"]), (2, ["5"], ["64,32"]), (3, ["7"], None)]
+
+
+def test_unified_values_stay_as_written(spark):
+    body = '{"a": "Smith, John", "b": "[draft]", "c": [1, 2.50, "x, y", null], "d": 1.0e3, "e": true, "f": null, "g": [], "o": {"p": "True"}}'
+    got = drift.unified_table(spark.createDataFrame([(1, 1, _at(0), body, "f"), (None, 2, None, "{}", None), (3, 3, _at(0), "[1]", "")], FILES), ["a", "b"])
+    seen = {r.file_id: (r.a, r.b, r.others, r.conflicts) for r in got.collect()}
+    assert seen[1] == (["Smith, John"], ["[draft]"], {"c": ["1", "2.50", "x, y", "null"], "d": ["1.0e3"], "e": ["true"], "f": None, "g": [], "o.p": ["True"]}, [])
+    assert seen[2] == seen[3] == (None, None, {}, [])
+
+
+def test_unified_scope_and_accidents(spark):
+    files = [
+        # in family f a is renamed to b, in family g they are two things, which once swapped by equal values
+        *[(1, i, _at(i), json.dumps({("a" if i < 3 else "b"): "v", "k": i}), "f") for i in range(5)],
+        *[(2, 10 + i, _at(i), json.dumps({"a": "v", "b": "w", "k": i}), "g") for i in range(5)],
+        (2, 15, _at(5), '{"a": "v", "k": 1}', "g"), (2, 16, _at(6), '{"b": "v", "k": 1}', "g"),
+        (4, 17, _at(0), '{"a": "y", "b": "z"}', "f"),
+    ]
+    got = {r.file_id: r for r in drift.unified_table(spark.createDataFrame(files, FILES), ["a"]).collect()}
+    assert all(got[i].a == ["v"] and set(got[i].others) == {"k"} for i in range(5))
+    assert got[10].a == ["v"] and got[10].others == {"b": ["w"], "k": ["0"]} and got[16].a is None and got[16].others == {"b": ["v"], "k": ["1"]}
+    # of two fields of one name the canonical one wins and the other is reported
+    assert got[17].a == ["y"] and got[17].others == {"b": ["z"]} and got[17].conflicts == ["b"] and got[10].conflicts == []
 
 
 def test_profile(spark):
@@ -84,4 +107,5 @@ def test_profile(spark):
 def test_unified_table_keeps_every_field(spark):
     files = [(1, 1, _at(0), '{"epochs": "5", "seed": 3, "note": null}', "f"), (1, 2, _at(1), '{"max_epochs": "5", "seed": 3}', "f"), (1, 3, _at(2), '{"max_epochs": 7, "epochs": 8, "seed": 4}', "f"), (1, 4, _at(3), '{"max_epochs": 7}', "f")]
     got = drift.unified_table(spark.createDataFrame(files, FILES), ["max_epochs"])
-    assert {r.file_id: (r.max_epochs, r.others) for r in got.collect()} == {1: ("5", {"seed": "3", "note": None}), 2: ("5", {"seed": "3"}), 3: ("7", {"seed": "4", "epochs": "8"}), 4: ("7", {})}
+    seen = {r.file_id: (r.max_epochs, r.others) for r in got.collect()}
+    assert seen == {1: (["5"], {"seed": ["3"], "note": None}), 2: (["5"], {"seed": ["3"]}), 3: (["7"], {"seed": ["4"], "epochs": ["8"]}), 4: (["7"], {})}
