@@ -45,6 +45,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "reg_config_raw"))
 
 
+def p5_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every file with its type."""
+    return drift.file_fields(table(spark, d, "reg_config_raw")).select("file_id", "family", "field", "json_type")
+
+
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     """Types, nulls and estimated distinct values of every field of a family of files."""
     return drift.field_profile(drift.file_fields(table(spark, d, "reg_config_raw")))
@@ -70,10 +75,32 @@ state AS (SELECT r.*, bool_or(p.s <= r.made_at AND (p.e IS NULL OR p.e > r.made_
 SELECT ref_table, date_trunc('month', made_at)::DATE AS month, count(*) AS made, count(*) FILTER (WHERE NOT coalesce(alive, false) AND coalesce(seen, false)) AS ended,
  count(*) FILTER (WHERE NOT coalesce(alive, false) AND NOT coalesce(seen, false)) AS not_yet FROM state GROUP BY ALL"""
 
+_FLAT = """
+valid AS (SELECT series_id, file_id, family, written_at, CASE WHEN json_valid(body) THEN body::JSON END AS b FROM reg_config_raw WHERE body IS NOT NULL AND json_valid(body)),
+tree(file_id, name, typ, val, place) AS (
+ SELECT file_id, j.key, j.type, j.value, j.id FROM valid, json_each(CASE WHEN json_type(b) = 'OBJECT' THEN b ELSE '{}'::JSON END) j WHERE j.key <> 'comment'
+ UNION ALL SELECT file_id, name || '.' || j.key, j.type, j.value, j.id FROM tree, json_each(CASE WHEN typ = 'OBJECT' THEN val ELSE '{}'::JSON END) j WHERE typ = 'OBJECT' AND j.key <> 'comment'),
+leaf AS (SELECT file_id, name, CASE WHEN typ = 'VARCHAR' THEN 'text' WHEN typ = 'BOOLEAN' THEN 'boolean' WHEN typ = 'NULL' THEN 'null' WHEN typ = 'ARRAY' THEN 'list' ELSE 'number' END AS t, val
+ FROM tree WHERE typ <> 'OBJECT' QUALIFY row_number() OVER (PARTITION BY file_id, name ORDER BY place DESC) = 1)
+"""
+# Equal values pair in the order of names here; the operator lets the likeness of names decide, which the tests cover.
+_P5 = f"""WITH RECURSIVE {_FLAT},
+steps AS (SELECT series_id, file_id, lag(file_id) OVER (PARTITION BY series_id ORDER BY written_at NULLS FIRST, file_id) AS old FROM valid WHERE series_id IS NOT NULL),
+profile AS (SELECT file_id, name, t, t || ':' || CASE WHEN t = 'number' THEN (val::VARCHAR)::DOUBLE::VARCHAR ELSE val::VARCHAR END AS v FROM leaf),
+gone AS (SELECT s.series_id, s.file_id, p.name, p.v FROM steps s JOIN profile p ON p.file_id = s.old WHERE NOT EXISTS (SELECT 1 FROM profile q WHERE q.file_id = s.file_id AND q.name = p.name)),
+come AS (SELECT s.series_id, s.file_id, p.name, p.v FROM steps s JOIN profile p ON p.file_id = s.file_id WHERE s.old IS NOT NULL AND NOT EXISTS (SELECT 1 FROM profile q WHERE q.file_id = s.old AND q.name = p.name)),
+og AS (SELECT *, row_number() OVER (PARTITION BY file_id, v ORDER BY name) AS i FROM gone), oc AS (SELECT *, row_number() OVER (PARTITION BY file_id, v ORDER BY name) AS i FROM come),
+renamed AS (SELECT og.series_id, og.file_id, og.name AS field, oc.name AS new_field FROM og JOIN oc ON og.file_id = oc.file_id AND og.v = oc.v AND og.i = oc.i)
+SELECT series_id, file_id, 'renamed' AS change_type, field, new_field FROM renamed
+UNION ALL SELECT series_id, file_id, 'removed', name, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = g.file_id AND r.field = g.name)
+UNION ALL SELECT series_id, file_id, 'added', name, '' FROM come c WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = c.file_id AND r.new_field = c.name)
+UNION ALL SELECT s.series_id, s.file_id, 'retyped', p.name, '' FROM steps s JOIN profile p ON p.file_id = s.file_id JOIN profile q ON q.file_id = s.old AND q.name = p.name WHERE p.t <> q.t AND p.t <> 'null' AND q.t <> 'null'"""
+_P5_FIELDS = f"WITH RECURSIVE {_FLAT} SELECT file_id, family, name AS field, t AS json_type FROM leaf JOIN valid USING (file_id)"
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_by_month, p5_found, p5_profile, p5_unified)}
+    return {f.__name__: f for f in (p1_found, p1_by_month, p5_found, p5_fields, p5_profile, p5_unified)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p1_by_month": _P1_MONTH}
+    return {"p1_found": _P1, "p1_by_month": _P1_MONTH, "p5_found": _P5, "p5_fields": _P5_FIELDS}

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 from conftest import rows
-from replicata.operators.references import orphan_references
+from replicata.operators.references import orphan_references, parent_runs
 
 T = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
 REFS, PARENTS = "ref_table string, row_id bigint, key string, at timestamp_ntz", "key string, start timestamp_ntz, end timestamp_ntz"
@@ -43,3 +43,34 @@ def test_empty_tables_repeats_and_extra_columns(spark):
     assert orphan_references(ref.limit(0), none).count() == 0
     clash = spark.createDataFrame([("a", T(0), None, "z", 5)], PARENTS + ", ref_table string, row_id int")
     assert orphan_references(ref, clash).count() == 0
+
+
+def test_runs_against_brute_force(spark):
+    rng = random.Random(5)
+    key = lambda: "hot" if rng.random() < 0.34 else rng.choice([None, *"abcd"])
+    parents = [(key(), rng.choice([None, *[T(rng.randrange(200)) for _ in range(5)]]), rng.choice([None, *[T(rng.randrange(200)) for _ in range(9)]])) for _ in range(150)]
+    forever = 2**63 - 1
+    us = lambda t: int((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+    want = []
+    for k in sorted({k for k, _, _ in parents if k}):
+        for s, e in sorted((us(s), us(e) if e else forever) for p, s, e in parents if p == k and s and (e is None or e > s)):
+            if want and want[-1][0] == k and s <= want[-1][2]:
+                want[-1] = (k, want[-1][1], max(want[-1][2], e))
+            else:
+                want.append((k, s, e))
+    df = spark.createDataFrame(parents, PARENTS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert rows(parent_runs(df)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    # over several partitions runs may be cut inside a key, but they cover the same microseconds
+    covered = []
+    for k, s, e in rows(parent_runs(df)):
+        if covered and covered[-1][0] == k and s <= covered[-1][2]:
+            covered[-1] = (k, covered[-1][1], max(covered[-1][2], e))
+        else:
+            covered.append((k, s, e))
+    assert covered == want and parent_runs(df.limit(0)).count() == 0
