@@ -54,29 +54,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 # Problem 4
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _overlap_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     texts = table(spark, d, "htr3a_dtc_smiles_curated").select(key_form(F.col("compound_id")).alias("key"), structure_form(F.col("base_rdkit_smiles")).alias("text"))
-    return overlap.overlap_pairs(_members(spark, d).withColumnRenamed("node", "key"), texts)
+    return _members(spark, d).withColumnRenamed("node", "key"), texts
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a train row and a valid or test row with equal compounds or structures at most two edits apart."""
-    return _overlaps(spark, d)
+    return overlap.overlap_pairs(*_overlap_rows(spark, d))
+
+
+def p4_containment(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs by role, with distance and the containment of the evaluation record in the training record."""
+    return overlap.overlap_records(*_overlap_rows(spark, d))
 
 
 def p4_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping evaluation rows and pairs per split, fold and record source of the evaluation compound.
+    """Overlapping evaluation rows, their pairs and how many of them training contains whole, per split, fold and record source of the evaluation compound.
 
     A compound counts once in each of its sources; ``source`` is null for compounds without records or without source.
     """
-    from replicata.plans.storage import materialize
-
-    pairs = materialize(_overlaps(spark, d))
-    ends = pairs.select(F.col("row_id_a").alias("row_id"), F.col("row_id_b").alias("other")).unionByName(pairs.select(F.col("row_id_b").alias("row_id"), F.col("row_id_a").alias("other")))
-    rows = _members(spark, d).filter("subset in ('valid', 'test') and node is not null")
-    per_row = rows.join(ends.groupBy("row_id").agg(F.count("*").alias("pairs")), "row_id")
+    found = overlap.overlap_records(*_overlap_rows(spark, d)).groupBy(F.col("eval_row").alias("row_id")).agg(F.count("*").alias("pairs"), F.max("containment").alias("containment"))
+    per_row = _members(spark, d).join(found, "row_id")
     sources = table(spark, d, "htr3a_dtc_smiles_curated").select(key_form(F.col("compound_id")).alias("node"), "source").distinct()
-    return per_row.join(sources, "node", "left").groupBy("split_uuid", "fold", "source").agg(F.count("*").alias("eval_rows"), F.sum("pairs").alias("pairs"))
+    return per_row.join(sources, "node", "left").groupBy("split_uuid", "fold", "source").agg(F.count("*").alias("eval_rows"), F.sum("pairs").alias("pairs"), F.count_if(F.col("containment") == 1.0).alias("contained"))
 
 
 # Problem 6
@@ -156,11 +157,28 @@ near AS (SELECT t.row_id AS a, e.row_id AS b FROM t JOIN texts tt ON tt.k = t.k
   JOIN texts te ON te.k = e.k WHERE abs(length(tt.s) - length(te.s)) <= 2 AND levenshtein(tt.s, te.s) <= 2)
 SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM (SELECT * FROM same UNION SELECT * FROM near)
 """
+_P4_WITH = f"""
+WITH {_STRUCTURE}, {_MEMBERS},
+texts AS (SELECT DISTINCT k, s FROM structures WHERE s IS NOT NULL),
+t AS (SELECT * FROM members WHERE subset = 'train' AND k IS NOT NULL),
+e AS (SELECT * FROM members WHERE subset IN ('valid', 'test') AND k IS NOT NULL),
+same AS (SELECT e.row_id AS eval_row, t.row_id AS train_row, true AS same_key, 0 AS distance, 1.0::DOUBLE AS containment FROM t JOIN e ON t.split_uuid = e.split_uuid AND t.fold = e.fold AND t.k = e.k),
+near AS (SELECT e.row_id AS eval_row, t.row_id AS train_row, levenshtein(tt.s, te.s) AS distance, te.s AS es, tt.s AS ts FROM t JOIN texts tt ON tt.k = t.k JOIN e ON t.split_uuid = e.split_uuid AND t.fold = e.fold
+  JOIN texts te ON te.k = e.k WHERE t.k <> e.k AND abs(length(tt.s) - length(te.s)) <= 2 AND levenshtein(tt.s, te.s) <= 2),
+grams AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(es) - 1, 2)), lambda i: substring(es, i, 3))) AS ge, list_distinct(list_transform(range(1, greatest(length(ts) - 1, 2)), lambda i: substring(ts, i, 3))) AS gt FROM near),
+records AS (SELECT * FROM same UNION ALL SELECT eval_row, train_row, false, distance, len(list_intersect(ge, gt)) / len(ge) FROM grams
+  QUALIFY row_number() OVER (PARTITION BY eval_row, train_row ORDER BY distance, len(list_intersect(ge, gt)) / len(ge) DESC) = 1)
+"""
+_P4_CONTAINMENT = f"{_P4_WITH} SELECT * FROM records"
+_P4_SOURCE = f"""{_P4_WITH}, per_row AS (SELECT eval_row AS row_id, count(*) AS pairs, max(containment) AS c FROM records GROUP BY 1),
+sources AS (SELECT DISTINCT {_KEY.format("compound_id")} AS k, source FROM htr3a_dtc_smiles_curated)
+SELECT split_uuid, fold, source, count(*) AS eval_rows, sum(pairs) AS pairs, count(*) FILTER (WHERE c = 1) AS contained
+FROM members JOIN per_row USING (row_id) LEFT JOIN sources USING (k) GROUP BY ALL"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_assigned, p3_found, p4_found, p4_by_source, p6_packed, p6_fill, p7_found, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p2_found, p2_assigned, p3_found, p4_found, p4_containment, p4_by_source, p6_packed, p6_fill, p7_found, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4}
+    return {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_containment": _P4_CONTAINMENT, "p4_by_source": _P4_SOURCE}

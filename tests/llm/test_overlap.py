@@ -1,7 +1,7 @@
 import random
 
 from conftest import rows
-from replicata.llm.overlap import near_texts, overlap_pairs
+from replicata.llm.overlap import near_texts, overlap_pairs, overlap_records
 
 
 def _distance(a, b):
@@ -23,17 +23,27 @@ def _edit(rng, s, n):
 def test_no_pair_within_the_distance_is_lost(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abc(=1") for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 20, 40]))) for _ in range(60)]
-    train = base + [_edit(rng, s, rng.randrange(4)) for s in base]
-    evaluation = [_edit(rng, s, rng.randrange(4)) for s in base] + [s * 3 for s in base[:9]]
-    e = spark.createDataFrame([(1, s) for s in evaluation] + [(2, "zz"), (1, None)], "k int, text string")
-    t = spark.createDataFrame([(1, s) for s in train] + [(3, "zz"), (1, None)], "k int, text string")
+    texts = sorted({*base, *[_edit(rng, s, rng.randrange(4)) for s in base], *[_edit(rng, s, rng.randrange(3)) for s in base], *[s * 3 for s in base[:9]]})
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     for d in (0, 1, 2, 3):
-        got = {(r.eval_text, r.train_text): r.distance for r in near_texts(e, t, ["k"], d).collect()}
-        want = {(a, b): _distance(a, b) for a in set(evaluation) for b in set(train) if _distance(a, b) <= d}
-        assert got == want
-        # every n-gram with more than five pairs counts as heavy and is matched by what lies beside it
-        heavy = {(r.eval_text, r.train_text): r.distance for r in near_texts(e, t, ["k"], d, heavy_pairs=5).collect()} if d == 2 else want
-        assert heavy == want
+        want = {frozenset((i, j)): _distance(a, b) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if abs(len(a) - len(b)) <= d and _distance(a, b) <= d}
+
+        def got(**more):
+            found = near_texts(df, d, **more).collect()
+            assert len(found) == len({frozenset((r.a, r.b)) for r in found})
+            return {frozenset((r.a, r.b)): r.distance for r in found}
+
+        assert got() == want
+        # every n-gram with more than five pairs counts as heavy: short texts meet by what deletions leave, longer ones over many tasks
+        if d == 2:
+            assert got(heavy_pairs=5) == want
+            assert got(heavy_pairs=5, short=20) == want
+
+
+def test_containment(spark):
+    df = spark.createDataFrame([(1, "abcdef"), (2, "abcdefg"), (3, "x"), (4, "")], "id bigint, text string")
+    got = {(r.a, r.b): (r.a_in_b, r.b_in_a) for r in near_texts(df, 1).collect()}
+    assert got == {(2, 1): (0.8, 1.0), (4, 3): (0.0, 0.0)}
 
 
 def test_pairs_of_rows(spark):
@@ -42,3 +52,13 @@ def test_pairs_of_rows(spark):
     assert rows(overlap_pairs(r, texts)) == [(1, 2), (1, 3), (1, 8)]
     assert overlap_pairs(r.limit(0), texts).count() == 0
     assert rows(overlap_pairs(r, texts.limit(0))) == [(1, 2), (1, 8)]
+
+
+def test_records(spark):
+    # key a has two structures, of which the second is nearer to b; c has the structure of a; hot keys are dealt
+    rows_ = [(1, "s", 0, "train", "a"), (2, "s", 0, "test", "b"), (3, "s", 0, "test", "c"), (4, "s", 0, "valid", "a"), (5, "s", 0, "train", "a")]
+    r = spark.createDataFrame([(*x, "z") for x in rows_], "row_id bigint, split_uuid string, fold int, subset string, key string, text string")
+    texts = spark.createDataFrame([("a", "abcdefghij"), ("a", "abcdefghXX"), ("b", "abcdefghXi"), ("c", "abcdefghij")], "key string, text string")
+    want = [*[(2, i, False, 1, 7 / 8) for i in (1, 5)], *[(3, i, False, 0, 1.0) for i in (1, 5)], *[(4, i, True, 0, 1.0) for i in (1, 5)]]
+    assert rows(overlap_records(r, texts)) == want
+    assert rows(overlap_records(r, texts, heavy_pairs=1)) == want
