@@ -9,25 +9,25 @@ HEAVY_ROWS = 1_000_000
 MOST_HEAVY_KEYS = 10_000
 
 
-def join_per_key(big: DataFrame, per_key: DataFrame, keys: list[str], n: str, heavy_rows: int = HEAVY_ROWS, at_most: int | None = None) -> DataFrame:
-    """``big`` joined with the one row that ``per_key`` has for each key; ``n`` there counts the key's rows in ``big`` and drops out.
+def join_per_key(big: DataFrame, per_key: DataFrame, keys: list[str], n: str, heavy_rows: int = HEAVY_ROWS, at_most: int | None = None, how: str = "inner") -> DataFrame:
+    """``big`` joined (``how``: inner or left) with the one row that ``per_key`` has for each key; ``n`` there counts the key's rows in ``big`` and drops out.
 
     A key with more rows than max(``heavy_rows``, all rows / 10 000) is dealt to as many tasks as it has times that number, its row in
     ``per_key`` repeated for each.  There are at most 10 000 such keys, which every task gets.  ``per_key`` is read three times and should be a
     written table or a cheap aggregate.  ``at_most``: a bound of all rows that is known already; if it is not above ``heavy_rows``, no key can be heavy.
     """
     if at_most is not None and at_most <= heavy_rows:
-        return big.join(per_key.drop(n), keys)
+        return big.join(per_key.drop(n), keys, how)
     total = per_key.agg(F.sum(n)).first()[0] or 0
     limit = max(heavy_rows, -(-total // MOST_HEAVY_KEYS))
     if total <= limit:
-        return big.join(per_key.drop(n), keys)
+        return big.join(per_key.drop(n), keys, how)
     parts = F.ceil(F.col(n) / F.lit(float(limit))).cast("int")
     heavy = per_key.filter(F.col(n) > limit).select(*keys, parts.alias("_parts"))
     rest = [c for c in big.columns if c not in keys]
     dealt = big.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rest), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(n)
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def join_pairs(left: DataFrame, right: DataFrame, keys: list[str], pairs_per_task: int = 10_000_000) -> DataFrame:
