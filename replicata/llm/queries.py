@@ -101,8 +101,13 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold at least 12 consecutive words of an evaluation item."""
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """Documents that hold at least 12 consecutive words of an evaluation item, of all those that the operator finds with up to one edit."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("edits = 0").select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of an evaluation item with up to two words inserted, deleted or replaced, and with how many."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2)
 
 
 # Problem 8
@@ -176,9 +181,19 @@ SELECT split_uuid, fold, source, count(*) AS eval_rows, sum(pairs) AS pairs, cou
 FROM members JOIN per_row USING (row_id) LEFT JOIN sources USING (k) GROUP BY ALL"""
 
 
+_WORDS = r"""regexp_extract_all(lower(regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{180E}]', '', 'g'),
+ '([\p{L}\p{N}])[-\x{2010}\x{2011}][ \t]*(?:\r\n|[\r\n\x{0B}\x{0C}\x{85}\x{2028}\x{2029}])[ \t]*(?:>[ \t]*)*([\p{L}\p{N}])', '\1\2', 'g')), '[\p{L}\p{N}]+')"""
+_P7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_assigned, p3_found, p4_found, p4_containment, p4_by_source, p6_packed, p6_fill, p7_found, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p2_found, p2_assigned, p3_found, p4_found, p4_containment, p4_by_source, p6_packed, p6_fill, p7_found, p7_near, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_containment": _P4_CONTAINMENT, "p4_by_source": _P4_SOURCE}
+    return {"p2_found": _P2, "p3_found": _P3, "p7_found": _P7, "p4_found": _P4, "p4_containment": _P4_CONTAINMENT, "p4_by_source": _P4_SOURCE}
