@@ -100,8 +100,10 @@ def remove_all_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cap_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """FIL11: ``n`` rows by the hash of their key and a seed; the same ones on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """FIL11: ``n`` rows by the hash of their key and a seed; the same ones on every run.  Rows are counted in the order of a range sort: none are gathered."""
+    from replicata.operators.joins import with_ordinal
+
+    return with_ordinal(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), "_h", key).filter(F.col("ordinal") < n).drop("_h", "ordinal")
 
 
 # Replicates

@@ -128,19 +128,76 @@ def summarize_distances(queries: DataFrame, rows: DataFrame, kind: str, metric:
         return k.filter(F.col("rank") == (1 if kind == "nearest" else n)).select("query_id", "distance")
     if kind not in ("farthest", "avg"):
         raise ValueError(f"unknown summary {kind}")
-    agg = F.max("distance") if kind == "farthest" else F.avg("distance")
-    return pair_distances(queries, rows, metric).groupBy("query_id").agg(agg.alias("distance"))
+    agg = F.max("most") if kind == "farthest" else F.sum("total") / F.sum("n")
+    return _per_query(queries, rows, metric).groupBy("query_id").agg(agg.alias("distance"))
 
 
-def tanimoto_pairs(queries: DataFrame, rows: DataFrame, bits: int = 1024) -> DataFrame:
-    """DST1: Tanimoto distance between arrays of set bits (``id``, ``bits``); two empty ones are at 0."""
-    as_row = lambda d: d.filter("bits is not null").select("id", F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.array_contains("bits", i).cast("double")).alias("v"))
-    return pair_distances(as_row(queries), as_row(rows), "jaccard")
+def _per_query(queries: DataFrame, rows: DataFrame, metric: str, cutoff: float | None = None) -> DataFrame:
+    """``query_id, n, total, most``: count, sum and largest of each query's distances (up to a cutoff) to the rows of one task; no pair leaves it."""
+    spark, schema = rows.sparkSession, "query_id bigint, n bigint, total double, most double"
+    parts = spark.createDataFrame([], schema)
+    for ids, block in _blocks(queries):
+        shared = spark.sparkContext.broadcast((np.asarray(ids, dtype=np.int64), block))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qid, q = shared.value
+            n, total, most = np.zeros(len(qid), np.int64), np.zeros(len(qid)), np.full(len(qid), -np.inf)
+            for x, _ in (s for b in batches for s in _slices(b, len(qid))):
+                d = distances(q, x, metric)
+                ok = ~np.isnan(d) if cutoff is None else d <= cutoff
+                n += ok.sum(1)
+                total += np.where(ok, d, 0.0).sum(1)
+                most = np.maximum(most, np.where(ok, d, -np.inf).max(1, initial=-np.inf))
+            ok = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(qid[ok]), pa.array(n[ok]), pa.array(total[ok]), pa.array(most[ok])], ["query_id", "n", "total", "most"])
+
+        parts = parts.unionByName(rows.filter("v is not null").select(F.col("id").cast("bigint").alias("id"), "v").mapInArrow(scan, schema))
+    return parts
+
+
+def tanimoto_pairs(queries: DataFrame, rows: DataFrame, bits: int = 1024, cutoff: float | None = None) -> DataFrame:
+    """DST1: ``query_id, id, distance``: Tanimoto distance between arrays of set bits (``id``, ``bits``), up to a cutoff if one is given; two empty ones are at 0.
+
+    Sets travel as they are and become rows of 0 and 1 only inside a task, a bounded number at a time.
+    """
+    spark, schema = rows.sparkSession, "query_id bigint, id bigint, distance double"
+    parts = spark.createDataFrame([], schema)
+
+    def dense(sets: list, width: int) -> np.ndarray:
+        out = np.zeros((len(sets), width), dtype=np.float32)
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        out[at, np.fromiter((i for x in sets for i in x), dtype=np.int64, count=len(at))] = 1
+        return out
+
+    def scan_with(shared):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, sets = shared.value
+            q = dense(sets, bits)
+            step = max(1, PAIR_VALUES // max(1, len(qid), bits))
+            for b in batches:
+                xid, xs = b.column("id").to_numpy(zero_copy_only=False), b.column("bits").to_pylist()
+                for i in range(0, len(xs), step):
+                    d = distances(q, dense(xs[i : i + step], bits), "jaccard")
+                    r, c = np.nonzero(np.ones_like(d) if cutoff is None else d <= cutoff)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(xid[i : i + step][c]), pa.array(d[r, c].astype(np.float64))], ["query_id", "id", "distance"])
+
+        return scan
+
+    def send(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in block], dtype=np.int64), [x for _, x in block]))
+        return rows.filter("bits is not null").select(F.col("id").cast("bigint").alias("id"), "bits").mapInArrow(scan_with(shared), schema)
+
+    block = []
+    for r in queries.filter("bits is not null").select("id", "bits").toLocalIterator():
+        block.append((r.id, list(r.bits)))
+        if len(block) * bits >= BLOCK_VALUES:
+            parts, block = parts.unionByName(send(block)), []
+    return parts.unionByName(send(block)) if block else parts
 
 
 def neighbour_counts(queries: DataFrame, rows: DataFrame, metric: str, cutoff: float) -> DataFrame:
     """DST6: rows within the cutoff of each query, itself included."""
-    return pair_distances(queries, rows, metric, cutoff).groupBy("query_id").agg(F.count("*").alias("n"))
+    return _per_query(queries, rows, metric, cutoff).groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
 def butina(rows: DataFrame, metric: str, cutoff: float) -> DataFrame:
@@ -188,3 +245,32 @@ def ad_local_density(queries: DataFrame, train: DataFrame, k: int, metric: str =
     near = nearest(queries, train, k, metric).join(own, "id").groupBy("query_id").agg(F.avg("distance").alias("d"), F.avg("own").alias("o"))
     safe = lambda c: F.when(F.col(c) == 0, 1e-6).otherwise(F.col(c))
     return near.select("query_id", (safe("d") / safe("o")).alias("ad_index"))
+
+
+def applicability(queries: DataFrame, train: DataFrame, k: int, method: str = "z_score", metric: str = "euclidean", most_train: int | None = None, seed: int = 0) -> DataFrame:
+    """DST10: ``query_id, ad_index, neighbours`` after features are prepared: those that are missing in all training rows are dropped, other missing ones
+    get the training mean.  ``neighbours``: ids of the k nearest training rows.
+
+    ``most_train``: on request only this many training rows, by the hash of their id, are used; by default all are.
+    """
+    from replicata.operators.curate import cap_rows
+
+    if method not in ("z_score", "local_density"):
+        raise ValueError(f"unknown method {method}")
+    if most_train is not None:
+        train = cap_rows(train, "id", most_train, seed)
+    per = train.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg(F.when(~F.isnan("x"), F.col("x"))).alias("mean"))
+    means = [r.mean for r in per.orderBy("i").collect()]  # one number per feature
+    places = [i for i, m in enumerate(means) if m is not None]
+    clean = lambda d: d.filter("v is not null").select("id", F.array(*[F.coalesce(F.when(~F.isnan(F.get("v", F.lit(i))), F.get("v", F.lit(i)).cast("double")), F.lit(float(means[i]))) for i in places]).alias("v"))
+    q, t = clean(queries), clean(train)
+    index = (ad_zscore if method == "z_score" else ad_local_density)(q, t, k, metric)
+    ids = nearest(q, t, k, metric).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("neighbours"))
+    return index.join(ids, "query_id")
+
+
+def diversity(rows: DataFrame, metric: str, k: int, share: int = 20) -> DataFrame:
+    """DST11: ``id, nearest, mean_k, mean_all`` for the rows whose id is divisible by ``share``: distances to all rows, the numbers behind a diversity report."""
+    q = rows.filter(F.col("id") % share == 0)
+    near = nearest(q, rows, k, metric, skip_self=True).groupBy("query_id").agg(F.min("distance").alias("nearest"), F.avg("distance").alias("mean_k"))
+    return near.join(summarize_distances(q, rows, "avg", metric).withColumnRenamed("distance", "mean_all"), "query_id").withColumnRenamed("query_id", "id")

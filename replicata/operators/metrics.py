@@ -61,6 +61,43 @@ def classification_metrics(df: DataFrame, real: str, prob: str, by: list[str], c
     return confusion_counts(df, real, prob, by, cutoff).select(*by, *[c.alias(k) for k, c in out.items()])
 
 
+def _per_class(df: DataFrame, real: str, probs: str, by: list[str]) -> DataFrame:
+    """One row per row and class: whether it is the real class (``_is``) and the class's probability (``_prob``); incomplete rows are left out."""
+    ok = F.col(real).isNotNull() & F.col(probs).isNotNull() & ~F.exists(probs, lambda p: p.isNull() | F.isnan(p))
+    x = df.filter(ok).select(*by, F.col(real).cast("int").alias("_real"), F.posexplode(probs).alias("_class", "_prob"))
+    return x.withColumn("_is", (F.col("_real") == F.col("_class")).cast("int"))
+
+
+def multiclass_metrics(df: DataFrame, real: str, probs: str, by: list[str]) -> DataFrame:
+    """MET2 - MET4, MET7 for several classes: macro means over classes of ``roc_auc, avg_precision, precision, recall``, and ``accuracy, bal_accuracy``.
+
+    ``probs`` is an array of probabilities of classes 0, 1, ...; the first largest is the prediction.  Classes that occur neither as real nor as predicted class
+    count for nothing; a class without positives or without negatives has no area and none that nothing is predicted as has precision 0.
+    """
+    from replicata.functions.numbers import argmax_class
+
+    ranks = rank_metrics(_per_class(df, real, probs, by), "_is", "_prob", [*by, "_class"]).groupBy(*by).agg(F.avg("roc_auc").alias("roc_auc"), F.avg("avg_precision").alias("avg_precision"))
+    ok = F.col(real).isNotNull() & F.col(probs).isNotNull() & ~F.exists(probs, lambda p: p.isNull() | F.isnan(p))
+    pairs = df.filter(ok).groupBy(*by, F.col(real).cast("int").alias("r"), argmax_class(F.col(probs)).alias("p")).agg(F.count("*").alias("n"))
+    sides = pairs.select(*by, "n", F.explode(F.array(F.struct(F.col("r").alias("c"), F.lit(1).alias("r1"), F.lit(0).alias("p1")), F.struct(F.col("p").alias("c"), F.lit(0).alias("r1"), F.lit(1).alias("p1")))).alias("x"), (F.col("r") == F.col("p")).alias("hit")).select(*by, "n", "hit", "x.*")
+    per = sides.groupBy(*by, "c").agg(F.sum(F.col("n") * F.col("r1")).alias("real"), F.sum(F.col("n") * F.col("p1")).alias("pred"), F.sum(F.when(F.col("hit"), F.col("n") * F.col("r1")).otherwise(0)).alias("tp"))
+    macro = per.groupBy(*by).agg(F.avg(_ratio(F.col("tp"), F.col("pred"))).alias("precision"), F.avg(_ratio(F.col("tp"), F.col("real"))).alias("recall"), (F.sum("tp") / F.sum("real")).alias("accuracy"), F.avg(F.when(F.col("real") > 0, F.col("tp") / F.col("real"))).alias("bal_accuracy"))
+    if not by:
+        return ranks.crossJoin(F.broadcast(macro))  # one row each
+    return ranks.join(macro, by)
+
+
+def score_with(df: DataFrame, real: str, pred: str, by: list[str], prediction_type: str = "regression", n_classes: int = 2, strategy: str = "train_valid_test", fold: str = "fold") -> DataFrame:
+    """MET14: the scores that a prediction type, its classes and a split strategy ask for."""
+    if prediction_type == "regression":
+        return kfold_regression(df, real, pred, fold, by) if strategy == "k_fold_cv" else regression_metrics(df, real, pred, by)
+    if prediction_type == "hybrid":
+        return hybrid_metrics(df, real, pred, "conc", by)
+    if prediction_type != "classification":
+        raise ValueError(f"unknown prediction type {prediction_type}")
+    return multiclass_metrics(df, real, pred, by) if n_classes > 2 else classification_metrics(df, real, pred, by)
+
+
 def confusion_matrix(df: DataFrame, real: str, pred: str) -> DataFrame:
     """MET9: ``real, pred, n`` for every pair that occurs."""
     return df.filter(F.col(real).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(real).alias("real"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))

@@ -42,25 +42,80 @@ def last_row(columns: Iterable[pa.Array]) -> list:
 
 
 def running_sums(df: DataFrame, groups: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds running sums (inclusive) of columns in each group's ``order``: ``sums`` maps new names to columns.
+    """Adds running sums (inclusive) of columns of numbers in each group's ``order``: ``sums`` maps new names to columns; missing numbers add nothing.
 
-    The order must tell rows of a group apart.  Rows are range-sorted on group and order, summed inside each partition, and the
-    partitions' totals are prefix-summed, so that a group of any size spreads over tasks.
+    The order must tell rows of a group apart.  Rows are range-sorted on group and order and summed in the same pass; only the first group of a
+    partition can have begun before it, and what came before is one row per partition, so that a group of any size spreads over tasks and
+    nothing is shuffled a second time.
     """
-    from pyspark.sql import Window
     from pyspark.sql import functions as F
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     from replicata.plans.storage import materialize
 
+    names, columns = list(sums), list(sums.values())
+    whole = {f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+    typed = df.withColumns({f"_s{i}": F.col(c).cast("bigint" if c in whole else "double") for i, c in enumerate(columns)})
+    # A group is told by whether its columns are missing and by their values; NaN equals NaN.
+    extra = [StructField("_p", LongType()), StructField("_head", LongType()), StructField("_mark", LongType())]
+    schema = StructType([StructField(f.name, f.dataType, True) for f in typed.schema.fields] + extra)
     keys = [F.col(g) for g in groups]
-    placed = materialize(range_sorted(df, *keys, *order).withColumn("_p", F.spark_partition_id()))
-    totals = placed.groupBy(*groups, "_p").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    w = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*groups, "_p", *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = Window.partitionBy("_p", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.withColumns({f"_l_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    a, b = local.alias("a"), before.alias("b")
-    same = F.col("a._p") == F.col("b._p")
-    for g in groups:
-        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    return a.join(b, same).select(*[f"a.{c}" for c in df.columns], *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        before, acc, head, last = None, [0] * len(columns), True, None
+
+        def mark(b: pa.RecordBatch, values: list, which: int) -> pa.RecordBatch:
+            """A row that holds a group's columns and sums: of a partition's first (1) and last (2) group."""
+            row = [b.column(n).slice(b.num_rows - 1 if which == 2 else 0, 1) if n in groups else pa.array([values[int(n[2:])]], b.schema.field(n).type) if n[:2] == "_s" and n[2:].isdigit() else pa.nulls(1, b.schema.field(n).type) for n in b.schema.names]
+            return pa.RecordBatch.from_arrays([*row, *[pa.array([v], pa.int64()) for v in (pid, int(head), which)]], [*b.schema.names, "_p", "_head", "_mark"])
+
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            cols = [b.column(g) for g in groups]
+            new = starts(cols, before) if groups else np.arange(n) == (0 if last is None else n)
+            if last is None:
+                yield mark(b, acc, 1)
+                new[0] = False
+            at = np.flatnonzero(new)
+            out = {}
+            for i in range(len(columns)):
+                v = b.column(f"_s{i}").fill_null(0).to_numpy(zero_copy_only=False)
+                total = np.cumsum(v)
+                base = np.zeros(n, dtype=total.dtype)
+                first = int(at[0]) if len(at) else n
+                base[:first] = -acc[i]
+                for_seg = np.repeat(total[at] - v[at], np.diff(np.append(at, n))) if len(at) else base[n:]
+                base[first:] = for_seg
+                out[f"_s{i}"] = total - base
+            acc = [out[f"_s{i}"][-1].item() for i in range(len(columns))]
+            heads = np.zeros(n, dtype=np.int64)
+            if head:
+                heads[: int(at[0]) if len(at) else n] = 1
+                head = not len(at)
+            before, last = last_row(cols), b
+            data = [pa.array(out[c], b.schema.field(c).type) if c in out else b.column(c) for c in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*data, pa.array(np.full(n, pid)), pa.array(heads), pa.nulls(n, pa.int64())], [*b.schema.names, "_p", "_head", "_mark"])
+        if last is not None:
+            yield mark(last, acc, 2)
+
+    placed = materialize(range_sorted(typed, *keys, *order).mapInArrow(scan, schema))
+    own = [f"_s{i}" for i in range(len(columns))]
+    alike = lambda x, y: all(p == q or (p != p and q != q) for p, q in zip(x, y, strict=True))
+    carries, tail, held = [], None, []
+    marks = placed.filter("_mark is not null").select("_p", "_mark", "_head", F.struct(*groups) if groups else F.struct(F.lit(0)), F.struct(*own)).collect()
+    for pid, which, whole_one, group, values in sorted(marks, key=lambda r: (r[0], r[1])):
+        if which == 1:
+            joined = tail is not None and alike(tail, group)
+            if joined:
+                carries.append((pid, *held))
+        else:
+            held = [x + y for x, y in zip(held, values, strict=True)] if joined and whole_one else list(values)
+            tail = group
+    before = placed.sparkSession.createDataFrame(carries, StructType([StructField("_q", LongType())] + [StructField(f"_c{i}", LongType() if c in whole else DoubleType()) for i, c in enumerate(columns)]))
+    joined = placed.filter("_mark is null").join(F.broadcast(before), (F.col("_p") == F.col("_q")) & (F.col("_head") == 1), "left")
+    return joined.select(*df.columns, *[(F.col(f"_s{i}") + F.coalesce(f"_c{i}", F.lit(0))).alias(n) for i, n in enumerate(names)])

@@ -272,7 +272,7 @@ def butina_clusters(spark, d):
     return distance.butina(_vectors(spark, d), "euclidean", 1.25)
 
 
-_AD = _VEC + """, tr AS (SELECT * FROM e WHERE id % 20 = 1), own AS (SELECT a.id, b.id AS nb, list_distance(a.v, b.v) AS dist FROM tr a, tr b),
+_AD = _VEC + """, tr AS (SELECT * FROM e WHERE id % 20 <> 0), own AS (SELECT a.id, b.id AS nb, list_distance(a.v, b.v) AS dist FROM tr a, tr b),
 ownk AS (SELECT id, sum(dist) / 3 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM own) WHERE r <= 4 GROUP BY id),
 qk AS (SELECT query_id, id, dist FROM (SELECT q.id AS query_id, tr.id, list_distance(q.v, tr.v) AS dist, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, tr.v), tr.id) AS r FROM q, tr) WHERE r <= 3)"""
 
@@ -287,3 +287,35 @@ def ad_zscore(spark, d):
 def ad_local_density(spark, d):
     train = _vectors(spark, d).filter("id % 20 <> 0")
     return distance.ad_local_density(_queries(spark, d), train, 3).select("query_id", r6(F.col("ad_index"), "ad_index"))
+
+
+@R.query(f"WITH {_AD}, ids AS (SELECT query_id, list(id ORDER BY dist, id) AS neighbours FROM qk GROUP BY 1) SELECT query_id, round(greatest((avg(qk.dist) - (SELECT avg(dist) FROM ownk)) / (SELECT stddev_pop(dist) FROM ownk), 1e-6), 6) AS ad_index, any_value(array_to_string(neighbours, ',')) AS neighbours FROM qk JOIN ids USING (query_id) GROUP BY 1")
+def ad_driver(spark, d):
+    a = distance.applicability(_queries(spark, d), _vectors(spark, d).filter("id % 20 <> 0"), 3)
+    return a.select("query_id", r6(F.col("ad_index"), "ad_index"), F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+@R.query(f"WITH {_RANKED}, m AS (SELECT query_id, avg(distance) AS a FROM p GROUP BY 1) SELECT query_id AS id, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean_k, round(any_value(a), 6) AS mean_all FROM k JOIN m USING (query_id) WHERE rank <= 5 GROUP BY 1")
+def diversity_report(spark, d):
+    v = distance.diversity(_vectors(spark, d), "euclidean", 5)
+    return v.select("id", *[r6(F.col(c), c) for c in ("nearest", "mean_k", "mean_all")])
+
+
+_MULTI = """m AS (SELECT vec_id, label % 3 AS y, label % 2 AS task, list_transform([1, 2, 3], lambda i: exp(2.0e0 * embedding[i]::DOUBLE)) AS e FROM embeddings),
+pr AS (SELECT *, list_transform(e, lambda x: x / (e[1] + e[2] + e[3])) AS p FROM m),
+cl AS (SELECT task, vec_id, c.i AS c, (y = c.i)::INT AS y, p[c.i + 1] AS s FROM pr, range(3) c(i)),
+rk AS (SELECT *, rank() OVER (PARTITION BY task, c ORDER BY s) + (count(*) OVER (PARTITION BY task, c, s) - 1) / 2.0e0 AS r FROM cl),
+auc AS (SELECT task, c, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0e0) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS a FROM rk GROUP BY 1, 2),
+st AS (SELECT task, c, s, count(*) AS n, sum(y) AS pos FROM cl GROUP BY 1, 2, 3), cu AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM st WINDOW w AS (PARTITION BY task, c ORDER BY s DESC)),
+ap AS (SELECT task, c, sum(pos * cp / cn::DOUBLE) / sum(pos) AS a FROM cu GROUP BY 1, 2),
+bp AS (SELECT task, y, list_position(p, list_max(p)) - 1 AS h FROM pr),
+pc AS (SELECT task, c.i AS c, count(*) FILTER (WHERE y = c.i AND h = c.i)::DOUBLE AS tp, count(*) FILTER (WHERE h = c.i) AS pred, count(*) FILTER (WHERE y = c.i) AS real FROM bp, range(3) c(i) GROUP BY 1, 2)"""
+
+
+@R.query(f"""WITH {_MULTI} SELECT task, round((SELECT avg(a) FROM auc WHERE auc.task = pc.task), 6) AS roc_auc, round((SELECT avg(a) FROM ap WHERE ap.task = pc.task), 6) AS avg_precision,
+ round(avg(CASE WHEN pred = 0 THEN 0 ELSE tp / pred END), 6) AS precision, round(avg(CASE WHEN real = 0 THEN 0 ELSE tp / real END), 6) AS recall, round(sum(tp) / sum(real), 6) AS accuracy, round(avg(tp / real), 6) AS bal_accuracy FROM pc GROUP BY task""")
+def multiclass_metrics(spark, d):
+    e = table(spark, d, "embeddings")
+    x = [F.exp(2.0 * F.col("embedding")[i].cast("double")) for i in range(3)]
+    m = e.select((F.col("label") % 3).alias("y"), (F.col("label") % 2).alias("task"), F.array(*[v / (x[0] + x[1] + x[2]) for v in x]).alias("p"))
+    return metrics.multiclass_metrics(m, "y", "p", ["task"]).select("task", *[r6(F.col(c), c) for c in ("roc_auc", "avg_precision", "precision", "recall", "accuracy", "bal_accuracy")])

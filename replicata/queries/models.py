@@ -143,11 +143,12 @@ def combined_training(spark, d):
 # Splits
 
 
-@R.query("SELECT rec_id, compound_id FROM htr3a_dtc_smiles_curated WHERE compound_id IN (SELECT compound_id FROM htr3a_dtc_smiles_curated GROUP BY 1 HAVING min(rec_id) < 1000)")
+@R.query("""WITH c AS (SELECT compound_id, min(rec_id) AS r FROM htr3a_dtc_smiles_curated GROUP BY 1), o AS (SELECT compound_id, row_number() OVER (ORDER BY r) - 1 AS i, count(*) OVER () AS n FROM c)
+SELECT rec_id, compound_id FROM htr3a_dtc_smiles_curated WHERE compound_id IN (SELECT compound_id FROM o WHERE i < floor(n * 0.8 + 1e-9))""")
 def expand_selection(spark, d):
     h = table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id", "compound_id")
     c = curate.compact(h.withColumn("ordinal", F.col("rec_id")), "compound_id", "ordinal", "rec_id", [])
-    return splits.expand_selection(h, "compound_id", c.filter("rec_id < 1000"))
+    return splits.expand_selection(h, "compound_id", splits.index_split(c.select("compound_id", "rec_id"), "rec_id", 0.1, 0.1).filter("subset = 'train'"))
 
 
 @R.query("SELECT o_orderkey AS id, f.i::INT AS fold, CASE WHEN o_orderkey % 5 = f.i THEN 'valid' ELSE 'train' END AS subset FROM orders, range(5) f(i)")
@@ -178,9 +179,29 @@ def random_split(spark, d):
     return splits.random_split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", 0.1, 0.1, 17)
 
 
-@R.query()
+_GREEDY = """WITH RECURSIVE g AS (SELECT series_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, series_id NULLS FIRST) AS i FROM htr3a_dtc_smiles_curated GROUP BY 1),
+t AS (SELECT sum(n)::DOUBLE AS total FROM g),
+f(i, tr, va, subset) AS (SELECT 0::BIGINT, 0::HUGEINT, 0::HUGEINT, NULL::VARCHAR
+ UNION ALL SELECT g.i, CASE WHEN f.tr + g.n <= 0.8e0 * total + 1e-9 THEN f.tr + g.n ELSE f.tr END, CASE WHEN f.tr + g.n > 0.8e0 * total + 1e-9 AND f.tr + f.va + g.n <= 0.9e0 * total + 1e-9 THEN f.va + g.n ELSE f.va END,
+ CASE WHEN f.tr + g.n <= 0.8e0 * total + 1e-9 THEN 'train' WHEN f.tr + f.va + g.n <= 0.9e0 * total + 1e-9 THEN 'valid' ELSE 'test' END FROM f JOIN g ON g.i = f.i + 1, t)
+SELECT rec_id, h.series_id, subset FROM htr3a_dtc_smiles_curated h JOIN g ON g.series_id IS NOT DISTINCT FROM h.series_id JOIN f ON f.i = g.i"""
+
+
+@R.query(_GREEDY)
 def scaffold_split(spark, d):
-    return splits.scaffold_split(table(spark, d, "htr3a_dtc_smiles_curated").filter("series_id is not null").select("rec_id", "series_id"), "series_id", 0.1, 0.1)
+    return splits.scaffold_split(table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id", "series_id"), "series_id", 0.1, 0.1)
+
+
+@R.query("WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT subset, fold::INT AS fold, count(*) AS n FROM (SELECT 'test' AS subset, f.i AS fold FROM o, range(5) f(i) WHERE r >= floor(n * 0.8 + 1e-9)) GROUP BY 1, 2")
+def kfold_hold_out(spark, d):
+    k = splits.kfold_split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", 0.2, 5)
+    return k.filter("subset = 'test'").groupBy("subset", "fold").agg(F.count("*").alias("n"))
+
+
+@R.query()
+def cluster_folds(spark, d):
+    f = splits.cluster_folds(table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id", "series_id"), "series_id", 5)
+    return f.select("rec_id", "fold")
 
 
 @R.query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS date FROM orders), e AS (SELECT id, date, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM o WHERE date <= TIMESTAMP '1997-01-01')
@@ -200,15 +221,23 @@ def presplit_folds(spark, d):
 
 @R.query()
 def smush_scaffolds(spark, d):
-    return splits.smush(table(spark, d, "htr3a_dtc_smiles_curated").filter("series_id is not null"), "series_id", 100)
+    return splits.smush(table(spark, d, "htr3a_dtc_smiles_curated"), "series_id", 100)
 
 
 @R.query()
 def genetic_split(spark, d):
+    """Series merged to 100 super-groups and split by the whole fitness; structures of every 20th record are compared with all for the far fractions."""
+    from replicata.functions.slots import ngram_fingerprint
     from replicata.plans.storage import materialize
 
-    h = materialize(sparse_tasks(spark, d).groupBy((F.col("key") % 100).alias("scaffold")).agg(F.count("ta").alias("ta"), F.count("tn").alias("tn"), F.count("tr").alias("tr")))
-    return splits.genetic_group_split(h, "scaffold", ["ta", "tn", "tr"], {"train": 0.8, "valid": 0.1, "test": 0.1}, generations=20, population=40, seed=17)
+    h = table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id", "series_id", "base_rdkit_smiles", "pic50", F.col("active").cast("double").alias("active"))
+    per = materialize(splits.smush(h, "series_id", 100))
+    rows = materialize(splits._join_groups(h, "series_id", per, "n"))
+    prints = materialize(rows.select(F.col("rec_id").alias("id"), ngram_fingerprint(F.col("base_rdkit_smiles")).alias("bits")))
+    pairs = distance.tanimoto_pairs(prints.filter("id % 20 = 0"), prints, cutoff=0.3).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "distance")
+    masks = materialize(splits.near_masks(pairs, rows, "rec_id", "super_group", 0.3))
+    best = splits.genetic_group_split(splits.group_histogram(rows, "super_group", ["pic50", "active"]), 100, 2, masks=masks, generations=15, population=30, seed=17)
+    return best.select("group", "subset", *[r6(F.col(c), c) for c in ("fitness", "far_test", "far_valid", "ratio", "response")])
 
 
 def _members(spark, d):
@@ -229,6 +258,22 @@ def scaffold_min_dist(spark, d):
     return splits.group_min_distance(pairs, _members(spark, d), "id", "scaffold").withColumn("distance", F.round("distance", 6))
 
 
+@R.query()
+def ave_split(spark, d):
+    """The split of blocks of vectors with the least asymmetric bias; every row meets every 20th one."""
+    from replicata.plans.storage import materialize
+
+    v = _vectors(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("active")), "id")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(16)).cast("int")
+    pairs = distance.pair_distances(_queries(spark, d), v.select("id", "v"), "euclidean").filter("query_id <> id")
+    other = v.select("id", F.col("active").alias("b_active"), block("id").alias("b"))
+    least = pairs.join(other, "id").groupBy("query_id", "b").agg(*[F.min(F.when(F.col("b_active") == y, F.col("distance") / 2)).alias(f"d{y}") for y in (1, 0)])
+    wide = least.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct("d1", "d0")))).alias("m"))
+    take = lambda c: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.try_element_at("m", i)[c], F.lit(float("inf"))))
+    near = wide.withColumnRenamed("query_id", "id").join(v.select("id", "active"), "id").select("id", "active", take("d1").alias("to_active"), take("d0").alias("to_inactive"))
+    return splits.ave_minimize(materialize(near), "id", "active", 0.2, generations=8, population=16, blocks=16, seed=17).withColumn("bias", F.round("bias", 6))
+
+
 _SUB = "CASE WHEN key % 10 < 8 THEN 'train' WHEN key % 10 = 8 THEN 'valid' ELSE 'test' END"
 
 
