@@ -101,20 +101,23 @@ def tables_for(window: int, edits: int, target_recall: float, bits: int, sample:
     raise ValueError(f"no {most} tables of {bits} places reach a recall of {target_recall} with {edits} edits of {window} words")
 
 
-def passage_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
-    """Least word edits between an item's window and a beginning of ``text``, or most + 1 if there are more."""
-    n = len(item)
-    if np.array_equal(item, text[:n]):
-        return 0
-    if most == 0:
-        return 1
-    item, text = item.tolist(), text.tolist()
-    row = list(range(len(text) + 1))
-    for i, x in enumerate(item, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(text, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return min(*row, most + 1)
+def passage_distances(items: np.ndarray, texts: np.ndarray, most: int) -> np.ndarray:
+    """Least word edits between each item's window and a beginning of the text beside it, or most + 1 if there are more."""
+    m, n = items.shape
+    out = np.where((items == texts[:, :n]).all(axis=1), 0, most + 1)
+    rest = np.flatnonzero(out) if most else np.zeros(0, np.int64)
+    for part in np.array_split(rest, len(rest) // 50_000 + 1):
+        x, y = items[part], texts[part]
+        place = np.arange(y.shape[1] + 1, dtype=np.int16)
+        row = np.broadcast_to(place, (len(part), len(place)))
+        for i in range(n):
+            new = np.empty(row.shape, np.int16)
+            new[:, 0] = i + 1
+            np.minimum(row[:, 1:] + 1, row[:, :-1] + (x[:, i : i + 1] != y), out=new[:, 1:])
+            # words of the text may be passed over one by one: the least over all places before, plus the way from there
+            row = np.minimum.accumulate(new - place, axis=1) + place
+        out[part] = np.minimum(row.min(axis=1), most + 1)
+    return out
 
 
 class Index:
@@ -159,18 +162,17 @@ class Index:
         for part in np.array_split(starts, len(starts) // 50_000 + 1):
             if not len(part):
                 continue
-            windows, seen = windows_of(ids, part, self.window + self.edits), set()
+            windows, hits = windows_of(ids, part, self.window + self.edits), []
             for t, (known, order) in enumerate(self.tables):
                 keys = self.walks.keys(windows, t)
-                lo, hi = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
-                for i in np.flatnonzero(hi > lo):
-                    for c in order[lo[i] : hi[i]].tolist():
-                        best = out.get(self.owner[c], self.edits + 1)
-                        if best and (i, c) not in seen:
-                            seen.add((i, c))
-                            e = passage_distance(self.wins[c], windows[i], best - 1)
-                            if e < best:
-                                out[self.owner[c]] = e
+                lo = np.searchsorted(known, keys)
+                n = np.searchsorted(known, keys, side="right") - lo
+                at = np.repeat(np.arange(len(part)), n)
+                hits.append(at * len(order) + order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(at))])
+            at, c = np.divmod(np.unique(np.concatenate(hits)), len(self.wins))
+            for i, e in zip(c, passage_distances(self.wins[c], windows[at], self.edits), strict=True):
+                if e <= self.edits and e < out.get(self.owner[i], self.edits + 1):
+                    out[self.owner[i]] = int(e)
         return out
 
 
@@ -251,10 +253,12 @@ def _joined(corpus: DataFrame, items: DataFrame, window: int, edits: int, tables
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "item_id", "doc_id_words", "item_id_words")]
-            rows = [(d, i, e) for d, i, x, y in zip(*cols, strict=True) if (e := passage_distance(np.array(y), np.array(x), edits)) <= edits]
-            if rows:
-                yield _batch(rows, ["doc_id", "item_id", "edits"], [pa.int64(), pa.int64(), pa.int32()])
+            if not b.num_rows:
+                continue
+            texts, wins = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("doc_id_words", "item_id_words"))
+            e = passage_distances(wins, texts, edits)
+            take = np.flatnonzero(e <= edits)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(take)), b.column("item_id").take(pa.array(take)), pa.array(e[take].astype(np.int32))], ["doc_id", "item_id", "edits"])
 
     item_keys = keyed(items, "item_id", True)
     probes = keyed(corpus, "doc_id", False).join(item_keys.select("key").distinct(), "key", "left_semi")
