@@ -364,11 +364,11 @@ def unified_table(files: DataFrame, wanted: list[str]) -> DataFrame:
     read = read.withColumn("_every", F.sort_array(F.transform("entries", place)))
     best = F.filter("_every", lambda x, i: (i == 0) | ~F.get("_every", i - 1)["canonical"].eqNullSafe(x["canonical"]))
     rest = F.filter("_every", lambda x, i: (i > 0) & F.get("_every", i - 1)["canonical"].eqNullSafe(x["canonical"]))
-    read = read.withColumns({"_best": best, "_rest": rest})
-    asked = {w: F.coalesce(F.try_element_at("_names", F.lit(w)), F.lit(w)) for w in wanted}
-    named = lambda c: lambda x: x["canonical"] == c
-    pick = [F.get(F.filter("_best", named(c)), F.lit(0))["elements"].alias(w) for w, c in asked.items()]
-    beyond = F.filter("_best", lambda x: ~F.array_contains(F.array(*asked.values()).cast("array<string>"), x["canonical"]))
-    entry = lambda key: lambda x: F.struct(x[key].alias("key"), x["elements"].alias("value"))
-    others = F.map_from_entries(F.concat(F.transform(beyond, entry("canonical")), F.transform("_rest", entry("field"))))
+    asked = F.array(*[F.coalesce(F.try_element_at("_names", F.lit(w)), F.lit(w)) for w in wanted]).cast("array<string>")
+    # Maps, so that no field is looked for among all others once per column.
+    held = F.map_from_entries(F.transform("_best", lambda x: F.struct(x["canonical"].alias("key"), x["elements"].alias("value"))))
+    read = read.withColumns({"_best": best, "_rest": rest, "_asked": asked}).withColumn("_held", held)
+    pick = [F.try_element_at("_held", F.get("_asked", F.lit(i))).alias(w) for i, w in enumerate(wanted)]
+    beyond = F.map_entries(F.map_filter("_held", lambda k, _: ~F.array_contains("_asked", k)))
+    others = F.map_from_entries(F.concat(beyond, F.transform("_rest", lambda x: F.struct(x["field"].alias("key"), x["elements"].alias("value")))))
     return read.select("file_id", "series_id", "family", "written_at", *pick, others.alias("others"), F.transform("_rest", lambda x: x["field"]).alias("conflicts"))
