@@ -23,3 +23,8 @@ def structure_form(c: Column) -> Column:
     pieces = F.split(F.regexp_replace(c, r"(?U)[\s@/\\]", ""), r"\.")
     longest = F.reduce(pieces, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     return F.when(F.length(longest) > 0, longest)
+
+
+def hash60(*c: Column) -> Column:
+    """A number in [0, 2^60) that depends on the values' texts alone, the same in any engine that has MD5; nulls are passed over."""
+    return F.conv(F.substr(F.md5(F.concat_ws("|", *[x.cast("string") for x in c])), F.lit(1), F.lit(15)), 16, 10).cast("bigint")

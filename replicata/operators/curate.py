@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from replicata.functions.keys import hash60
 from replicata.functions.numbers import all_of, any_of, classify, is_inf, no_nan
 
 # Spellings of relations and what they mean.
@@ -103,7 +104,45 @@ def cap_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """FIL11: ``n`` rows by the hash of their key and a seed; the same ones on every run.  Rows are counted in the order of a range sort: none are gathered."""
     from replicata.operators.joins import with_ordinal
 
-    return with_ordinal(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), "_h", key).filter(F.col("ordinal") < n).drop("_h", "ordinal")
+    return with_ordinal(df.withColumn("_h", hash60(F.col(key), F.lit(seed))), "_h", key).filter(F.col("ordinal") < n).drop("_h", "ordinal")
+
+
+# Elements that organic compounds are made of.
+ORGANIC = ("H", "B", "C", "N", "O", "F", "Si", "P", "S", "Cl", "Se", "Br", "I")
+
+
+def exclude_by_elements(df: DataFrame, elements: str, allowed: tuple[str, ...] = ORGANIC) -> DataFrame:
+    """FIL8: rows whose array of element symbols (from a structure library's slot) has allowed ones only; missing arrays drop out."""
+    return df.filter(F.coalesce(F.forall(elements, lambda e: F.coalesce(e.isin(list(allowed)), F.lit(False))), F.lit(False)))
+
+
+def require_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """SET7: raises for columns that are not there, naming them in order."""
+    missing = [c for c in wanted if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def unknown_units(df: DataFrame, unit: str) -> DataFrame:
+    """SET7: the distinct units that have no conversion, ``unit, n``; missing ones too."""
+    return df.filter(F.coalesce(~F.col(unit).isin(list(UNITS)), F.lit(True))).groupBy(F.col(unit).alias("unit")).agg(F.count("*").alias("n"))
+
+
+def to_model_schema(df: DataFrame, names: dict[str, str], back: bool = False) -> DataFrame:
+    """PRJ10: columns of the caller under the model's names, or ``back`` again; names that are not there are passed over, clashes raise."""
+    pairs = {v: k for k, v in names.items()} if back else names
+    out = [pairs.get(c, c) for c in df.columns]
+    if len(set(out)) < len(out):
+        raise ValueError("two columns would get one name")
+    return df.toDF(*out)
+
+
+def generated_ids(df: DataFrame, order: str, out: str = "compound_id", prefix: str = "compound") -> DataFrame:
+    """PRJ12: ids ``compound_000000``, ``compound_000001``, ... in the order of a unique column."""
+    from replicata.operators.joins import with_ordinal
+
+    return with_ordinal(df, order).withColumn(out, F.format_string(f"{prefix}_%06d", "ordinal")).drop("ordinal")
 
 
 # Replicates
@@ -205,14 +244,52 @@ def label_actives(df: DataFrame, value: str, relation: str, threshold: float | N
     return df.withColumn("active", F.coalesce(above, F.lit(False)).cast("int")).drop("_limit")
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group (one row without groups), interpolated between neighbours: ``wanted`` maps new names to shares; missing values are left out.
+
+    Values are counted, their counts summed up in order over a range-sorted table, and the values at the ranks picked by a partial aggregate: no group
+    and no whole column is gathered.  Groups without values, and an empty table with groups, give no row.
+    """
+    from replicata.plans.range_scan import running_sums
+    from replicata.plans.storage import materialize
+
+    v = no_nan(F.col(value).cast("double")) + 0.0
+    counts = df.select(*by, v.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    steps = materialize(running_sums(counts, by, [F.col("_v")], {"_c": "_n"}))
+    total = steps.groupBy(*by).agg(F.max("_c").alias("_t"))
+    # The rank of a quantile is (t - 1) q; a value covers ranks _c - _n .. _c - 1.
+    if by:
+        a, b = steps.alias("a"), total.alias("b")
+        both = a.join(b, all_of([F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in by])).select("a.*", "b._t")
+    else:
+        both = steps.crossJoin(F.broadcast(total))
+    rank = {n: (F.col("_t") - 1) * F.lit(float(q)) for n, q in wanted.items()}
+    at = both.groupBy(*by).agg(*[F.min(F.when(F.col("_c") > F.floor(r), F.col("_v"))).alias(f"_lo_{n}") for n, r in rank.items()], *[F.min(F.when(F.col("_c") > F.ceil(r), F.col("_v"))).alias(f"_hi_{n}") for n, r in rank.items()], F.max("_t").alias("_t"))
+    return at.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (r - F.floor(r))).alias(n) for n, r in rank.items()])
+
+
+def mode(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """AGG8: per group the most frequent value (``mode``, ties: the smallest) and how often it stands (``mode_n``); missing values are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))).alias("m")
+    return counts.groupBy(*by).agg(best).select(*by, F.col("m.v").alias("mode"), (-F.col("m.n")).alias("mode_n"))
+
+
 def remove_outliers(df: DataFrame, key: str, value: str, max_diff: float) -> DataFrame:
     """AGG4: drops replicates further than ``max_diff`` from their group's median; a group with a missing value loses all rows, single rows stay.
 
-    The median comes from counts of distinct values, joined back; rows with a missing key form no group and drop out.
+    The median comes from ranks of distinct values (:func:`quantiles`), joined back, a key of very many rows to several tasks; rows with a missing
+    key form no group and drop out.
     """
-    med = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.when(F.count("*") == F.count(value), F.median(value)).alias("_m"))
-    ok = (F.col("_n") == 1) | (F.abs(F.col(value) - F.col("_m")) <= max_diff)
-    return df.join(med, key).filter(F.coalesce(ok, F.lit(False))).drop("_n", "_m")
+    from replicata.plans.skew import join_per_key
+    from replicata.plans.storage import materialize
+
+    rows = df.filter(F.col(key).isNotNull())
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.count(no_nan(F.col(value).cast("double"))).alias("_k"))
+    whole = rows.select(key, value)
+    med = materialize(sizes.join(quantiles(whole, [key], value, {"_m": 0.5}), key, "left").select(key, "_n", F.col("_n").alias("_size"), F.when(F.col("_n") == F.col("_k"), F.col("_m")).alias("_m")))
+    ok = (F.col("_size") == 1) | (F.abs(F.col(value) - F.col("_m")) <= max_diff)
+    return join_per_key(df, med, [key], "_n").filter(F.coalesce(ok, F.lit(False))).drop("_size", "_m")
 
 
 def _settle(values: list[float], counts: list[int], tolerance: float, max_std: float) -> tuple[list[bool], float, float]:
@@ -232,26 +309,52 @@ def _settle(values: list[float], counts: list[int], tolerance: float, max_std: f
         keep &= ~bad
 
 
-def remove_bad_duplicates(df: DataFrame, key: str, value: str, tolerance: float, max_std: float) -> DataFrame:
+def remove_bad_duplicates(df: DataFrame, key: str, value: str, tolerance: float, max_std: float, long_list: int = 10_000) -> DataFrame:
     """AGG3: one row ``key, mean, std, n`` for every key with values left after repeated removal of those off by more than ``tolerance`` percent.
 
     The percent deviation keeps the mean's sign, so negative means exceed nothing; a deviation above ``max_std`` removes the whole group.
-    Replicates shrink to distinct values with counts before a key's list is made.  Missing keys and values drop out; a single replicate has no std.
+    Missing keys and values drop out; a single replicate has no std.
+
+    Replicates shrink to distinct values with counts.  A key of at most ``long_list`` different values settles in one go; keys of more, which no task could
+    hold, settle together round by round: a round sums moments (from the key's least value, so that nothing cancels), joins them back, a key of
+    very many values to several tasks, and writes what stays.
     """
-    parts = df.select(F.col(key).alias("key"), no_nan(F.col(value).cast("double")).alias("v")).dropna().groupBy("key", "v").agg(F.count("*").alias("c"))
-    lists = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("l")).select("key", F.col("l.v").alias("v"), F.col("l.c").alias("c"))
-    schema = f"key {dict(lists.dtypes)['key']}, mean double, std double, n bigint"
+    from replicata.plans.skew import join_per_key
+    from replicata.plans.storage import materialize, release
+
+    counts = materialize(df.select(F.col(key).alias("key"), no_nan(F.col(value).cast("double")).alias("v")).dropna().groupBy("key", "v").agg(F.count("*").alias("c")))
+    least = counts.groupBy("key").agg(F.min("v").alias("o"), F.count("*").alias("k"))
+    least = materialize(least)
+    lists = join_per_key(counts, least.filter(F.col("k") <= long_list), ["key"], "k").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("l")).select("key", F.col("l.v").alias("v"), F.col("l.c").alias("c"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in frames:
+        for f in frames:
             rows = []
-            for k, v, c in zip(d["key"], d["v"], d["c"], strict=True):
+            for k, v, c in zip(f["key"], f["v"], f["c"], strict=True):
                 keep, mean, std = _settle(v, c, tolerance, max_std)
                 if any(keep):
                     rows.append((k, mean, None if math.isnan(std) else std, int(np.asarray(c)[keep].sum())))
             yield pd.DataFrame(rows, columns=["key", "mean", "std", "n"])
 
-    return lists.mapInPandas(run, schema)
+    settled = lists.mapInPandas(run, f"key {dict(lists.dtypes)['key']}, mean double, std double, n bigint")
+    left = materialize(join_per_key(counts, least.filter(F.col("k") > long_list), ["key"], "k"))
+    if left.isEmpty():
+        return settled
+    d = F.col("v") - F.col("o")
+    spread = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))
+    while True:
+        sums = left.groupBy("key").agg(F.sum("c").alias("n"), F.sum(d * F.col("c")).alias("s1"), F.sum(d * d * F.col("c")).alias("s2"), F.first("o").alias("_o"), F.count("*").alias("k"))
+        stats = materialize(sums.select("key", (F.col("_o") + F.col("s1") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1))).alias("std"), "n", "k"))
+        off = F.when(F.col("mean") == 0, F.col("v") != 0).otherwise(F.abs(F.col("v") - F.col("mean")) / F.col("mean") * 100 > tolerance)
+        rated = materialize(join_per_key(left, stats, ["key"], "k").withColumn("bad", off | F.coalesce(F.col("std") > max_std, F.lit(False))))
+        moved = rated.filter("bad").select("key").distinct()
+        # Keys that lost nothing are done; the others go on with what is left of them.
+        done = stats.join(moved, "key", "left_anti").select("key", "mean", "std", "n")
+        settled = settled.unionByName(done)
+        release(left)
+        left = materialize(rated.filter("not bad").join(moved, "key", "left_semi").select("key", "v", "c", "o"))
+        if left.isEmpty():
+            return settled
 
 
 # Tables of frequencies, validation
@@ -270,11 +373,15 @@ def labeled_freq_table(df: DataFrame, columns: list[str], min_freq: int = 1) ->
 
 
 def summarize(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """AGG7, AGG8: rows, values, mean, deviation, quartiles, least and most; per group if ``by`` is given."""
-    c = no_nan(F.col(column).cast("double"))
-    q = lambda p: F.percentile(c, F.lit(p))
-    agg = [F.count("*").alias("n_rows"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max(c).alias("max")]
-    return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+    """AGG7, AGG8: rows, values, mean, deviation, quartiles, least and most; per group if ``by`` is given.  Missing groups are a group; a group without values has null quartiles."""
+    from replicata.plans.storage import materialize
+
+    c, keys = no_nan(F.col(column).cast("double")), by or []
+    agg = [F.count("*").alias("n_rows"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+    base, q = df.groupBy(*keys).agg(*agg), materialize(quantiles(df, keys, column, {"q25": 0.25, "median": 0.5, "q75": 0.75}))
+    a, b = base.alias("a"), q.alias("b")
+    same = all_of([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return a.join(F.broadcast(b) if not keys else b, same, "left").select(*[f"a.{k}" for k in keys], "n_rows", "n", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def many_to_one_violations(df: DataFrame, identifier: str, key: str) -> DataFrame:
@@ -323,4 +430,7 @@ def ensemble(df: DataFrame, key: str, pred: str, how: str, std: str | None = Non
         s = F.when(F.col(std) == 0, F.raise_error(F.lit("a deviation is 0"))).otherwise(F.col(std))
         w = F.when(p.isNotNull(), 1 / s)
         return df.groupBy(key).agg((F.sum(p * w) / F.sum(w)).alias("pred"))
-    return df.groupBy(key).agg({"mean": F.avg, "median": F.median, "max": F.max, "min": F.min}[how](p).alias("pred"))
+    if how == "median":
+        keyed = df.select(key, p.alias("_p"))
+        return keyed.select(key).distinct().join(quantiles(keyed, [key], "_p", {"pred": 0.5}), key, "left")
+    return df.groupBy(key).agg({"mean": F.avg, "max": F.max, "min": F.min}[how](p).alias("pred"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,13 +58,20 @@ def predict(model: Model, df: DataFrame, key: str) -> DataFrame:
 
 
 def tree_std(model: Model, df: DataFrame, key: str) -> DataFrame:
-    """MET17: ``key, std``: population deviation of a regression forest's trees."""
-    rows = _vectors(df)
-    parts = [t.transform(rows).select(key, F.col(t.getPredictionCol()).alias("p")) for t in model.trees]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key).agg(F.stddev_pop("p").alias("std"))
+    """MET17: ``key, std``: population deviation of a regression forest's trees; the data are read once, with one column per tree."""
+    out = _vectors(df).select(key, "_v")
+    names = []
+    for i, t in enumerate(model.trees):
+        names.append(f"_t{i}")
+        out = t.setPredictionCol(names[-1]).transform(out)
+    mean = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x) / len(names)
+    return out.select(key, F.array(*names).alias("_p")).withColumn("_m", mean).select(key, F.sqrt(F.aggregate("_p", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / len(names)).alias("std"))
+
+
+def impurity_importance(spark: SparkSession, model: Model) -> DataFrame:
+    """FI1: ``feature, importance``: how much a forest's splits by a feature lower the impurity, summing up to 1."""
+    v = model.featureImportances.toArray()
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "feature int, importance double")
 
 
 def train_predict(df: DataFrame, kind: str, classification: bool, seed: int = 0) -> DataFrame:
@@ -82,13 +93,59 @@ def kfold_train_predict(df: DataFrame, kind: str, classification: bool, folds: i
     return out
 
 
+def kfold_refit(df: DataFrame, kind: str, classification: bool, folds: int, seed: int = 0, **params) -> tuple[DataFrame, Model]:
+    """MOD2: the predictions of one model per fold (:func:`kfold_train_predict`) and the model refitted on all training and validation rows of fold 0."""
+    per = kfold_train_predict(df, kind, classification, folds, seed)
+    return per, fit(df.filter("subset <> 'test'").dropDuplicates(["id"]), kind, classification, seed, **params)
+
+
+def predict_selection(documents: DataFrame, load: Callable[[str], Model], df: DataFrame, key: str, identifier: str = "model_uuid", within: float | None = None, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """MOD8: predictions of every model of a registry selection: ``model_uuid, key, pred`` (and ``prob``).  One plan over one reading of the data; a model that
+    can't be loaded is skipped.  ``within``: loading stops when the next model would need more than 0.9 of the seconds left (MOD9)."""
+    parts, left = [], TimeLimit(within, clock)
+    for r in documents.select(identifier).distinct().orderBy(identifier).toLocalIterator():
+        if not left.another():
+            break
+        try:
+            model = load(r[0])
+        except (OSError, ValueError):
+            continue
+        parts.append(predict(model, df, key).select(F.lit(r[0]).alias(identifier), "*"))
+    if not parts:
+        return df.select(F.lit("").alias(identifier), key, F.lit(None).cast("double").alias("pred")).limit(0)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+class TimeLimit:
+    """MOD9: whether another step fits: the longest step so far must be at most 0.9 of the time left; without a limit it always does."""
+
+    def __init__(self, seconds: float | None, clock: Callable[[], float] = time.monotonic):
+        self.clock, self.end = clock, None if seconds is None else clock() + seconds
+        self.last, self.longest = None, 0.0
+
+    def another(self) -> bool:
+        now = self.clock()
+        if self.last is not None:
+            self.longest = max(self.longest, now - self.last)
+        self.last = now
+        return self.end is None or self.longest <= 0.9 * (self.end - now)
+
+
 PASS_VALUES = 50_000_000  # numbers of shuffled rows that are written at once (400 MB)
 
 
-def permutation_importance(model: Model, df: DataFrame, key: str, places: list[int] | None = None, repeats: int = 60, seed: int = 0) -> DataFrame:
+def cluster_importance(model: Model, df: DataFrame, key: str, clusters: DataFrame, repeats: int = 60, seed: int = 0) -> DataFrame:
+    """FI3: like :func:`permutation_importance`, but all features of a cluster (``feature, cluster``) are shuffled together: ``feature`` is the cluster."""
+    members: dict[int, list[int]] = {}
+    for r in clusters.orderBy("cluster", "feature").collect():
+        members.setdefault(r.cluster, []).append(r.feature)
+    return permutation_importance(model, df, key, list(members.values()), repeats, seed).join(df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(members)], "feature int, cluster int"), "feature").select("cluster", "importance", "std")
+
+
+def permutation_importance(model: Model, df: DataFrame, key: str, places: list | None = None, repeats: int = 60, seed: int = 0) -> DataFrame:
     """FI2: per feature the mean and deviation over repeats of how much the squared error grows when the feature is shuffled.
 
-    ``places`` None: all places of the arrays.  A shuffle gives each row the value of the next one in the order of a hash of its key:
+    ``places`` None: all places of the arrays; a list among them is shuffled as one, ``feature`` is then the number in ``places``.  A shuffle gives each row the value of the next one in the order of a hash of its key:
     both sides get their place by a range sort.  All features of a repeat are scored in one pass, small tables with several repeats a pass.
     """
     from replicata.operators.joins import with_ordinal
@@ -109,9 +166,14 @@ def permutation_importance(model: Model, df: DataFrame, key: str, places: list[i
         start = (F.col("_rep") - first) * n
         shifted = placed.select((start + F.pmod(F.col("ordinal") - start + 1, F.lit(n))).alias("ordinal"), F.col("features").alias("_other"))
         both = materialize(placed.join(shifted, "ordinal"))
-        each = spread(both).select("_rep", "y", "features", "_other", F.explode(F.array(*[F.lit(i) for i in places])).alias("_i"))
-        value = F.array(F.element_at("_other", F.col("_i") + 1))
-        swapped = F.concat(F.slice("features", F.lit(1), F.col("_i")), value, F.slice("features", F.col("_i") + 2, F.size("features")))
+        if isinstance(places[0], list):
+            sets = F.array(*[F.struct(F.lit(i).alias("_i"), F.array(*[F.lit(p) for p in x]).alias("_set")) for i, x in enumerate(places)])
+            each = spread(both).select("_rep", "y", "features", "_other", F.inline(sets))
+            swapped = F.transform("features", lambda x, i: F.when(F.array_contains("_set", i), F.get("_other", i)).otherwise(x))
+        else:
+            each = spread(both).select("_rep", "y", "features", "_other", F.explode(F.array(*[F.lit(i) for i in places])).alias("_i"))
+            value = F.array(F.element_at("_other", F.col("_i") + 1))
+            swapped = F.concat(F.slice("features", F.lit(1), F.col("_i")), value, F.slice("features", F.col("_i") + 2, F.size("features")))
         scored = model.transform(_vectors(each.select("_rep", "_i", "y", swapped.alias("features")))).groupBy("_rep", "_i").agg(error)
         out += [(r._i, r.e - base) for r in scored.collect()]
         release(placed)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,10 +185,87 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 
 
+def spearman_matrix(df: DataFrame, features: str) -> DataFrame:
+    """FI3: ``a, b, rho`` for every two places of an array of numbers; constant places are left out, rows with a missing number too.
+
+    Ranks of all places come from one pass of running counts over (place, value); products are summed per task.
+    """
+    from replicata.plans.range_scan import running_sums
+    from replicata.plans.storage import materialize
+
+    rows = materialize(df.filter(F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull() | F.isnan(x))).select(F.monotonically_increasing_id().alias("_r"), F.transform(features, lambda x: x.cast("double") + 0.0).alias("_f")))
+    long = rows.select("_r", F.posexplode("_f").alias("i", "x"))
+    n = long.groupBy("i", "x").agg(F.count("*").alias("_n"))
+    ranks = running_sums(n, ["i"], [F.col("x")], {"_c": "_n"}).select("i", "x", (F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2).alias("rank"))
+    wide = long.join(ranks, ["i", "x"]).groupBy("_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))), lambda s: s["rank"]).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["m"])
+
+    parts = [np.array(r.m) for r in wide.select("v").mapInArrow(run, "m array<double>").collect()]  # places squared, once per task
+    out = []
+    if parts:
+        m = np.sum(parts, axis=0)
+        m = m.reshape(int(round(len(m) ** 0.5)), -1)
+        cov = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0]
+        dev = np.sqrt(np.maximum(np.diag(cov), 0))
+        ok = np.flatnonzero(dev > 1e-9)
+        out = [(int(i), int(j), float(cov[i, j] / dev[i] / dev[j])) for i in ok for j in ok]
+    return df.sparkSession.createDataFrame(out, "a int, b int, rho double")
+
+
+def ward_clusters(distance: np.ndarray, height: float) -> list[int]:
+    """Clusters 1, 2, ... of the Ward linkage of a matrix of distances, cut at a height, numbered by their first member."""
+    d, size, members = distance.astype(float) ** 2, {i: 1 for i in range(len(distance))}, {i: [i] for i in range(len(distance))}
+    np.fill_diagonal(d, np.inf)
+    while len(members) > 1:
+        live = sorted(members)
+        sub = d[np.ix_(live, live)]
+        i, j = np.unravel_index(int(np.argmin(sub)), sub.shape)
+        a, b = sorted((live[i], live[j]))
+        if d[a, b] > height * height:
+            break
+        for k in live:
+            if k not in (a, b):
+                n = size[a] + size[b] + size[k]
+                d[a, k] = d[k, a] = ((size[a] + size[k]) * d[a, k] + (size[b] + size[k]) * d[b, k] - size[k] * d[a, b]) / n
+        size[a] += size.pop(b)
+        members[a] += members.pop(b)
+    out = [0] * len(distance)
+    for c, m in enumerate(sorted(members.values(), key=min), 1):
+        for i in m:
+            out[i] = c
+    return out
+
+
+def feature_clusters(rho: DataFrame, height: float) -> DataFrame:
+    """FI3: ``feature, cluster``: features whose Spearman correlations are alike: Ward linkage of the distances between rows of the matrix, cut at ``height``.
+
+    The matrix of places alone goes to the driver.
+    """
+    got = rho.collect()
+    ids = sorted({r.a for r in got})
+    at = {i: n for n, i in enumerate(ids)}
+    m = np.eye(len(ids))
+    for r in got:
+        m[at[r.a], at[r.b]] = r.rho
+    d = np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(2))
+    return rho.sparkSession.createDataFrame(list(zip(ids, ward_clusters(d, height), strict=True)) if ids else [], "feature int, cluster int")
+
+
 def quantile_bins(df: DataFrame, value: str, bins: int, out: str) -> DataFrame:
     """WIN7: bin 0 .. bins - 1 by quantile edges, right-closed; missing values have no bin."""
     c = no_nan(F.col(value).cast("double"))
-    edges = df.agg(F.percentile(c, [i / bins for i in range(1, bins)]).alias("_e"))
+    from replicata.operators.curate import quantiles
+
+    edges = quantiles(df.select(c.alias("_v")), [], "_v", {f"_q{i}": i / bins for i in range(1, bins)}).select(F.array(*[f"_q{i}" for i in range(1, bins)]).alias("_e"))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(c.isNotNull(), F.size(F.filter("_e", lambda e: e < c)))).drop("_e")
 
 

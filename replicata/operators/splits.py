@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replicata.functions.keys import hash60
 from replicata.operators.joins import with_ordinal
 
 SUBSETS = ("train", "valid", "test")
@@ -29,7 +30,7 @@ def index_split(df: DataFrame, order: str, valid: float, test: float) -> DataFra
 
 def random_split(df: DataFrame, key: str, valid: float, test: float, seed: int) -> DataFrame:
     """SPL4: exact fractions in the order of a hash of the key and the seed; the same on every run and partitioning."""
-    return _place(with_ordinal(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), "_h", key).drop("_h"), valid, test)
+    return _place(with_ordinal(df.withColumn("_h", hash60(F.col(key), F.lit(seed))), "_h", key).drop("_h"), valid, test)
 
 
 def _place(df: DataFrame, valid: float, test: float) -> DataFrame:

@@ -209,7 +209,7 @@ def remove_all_dupes(spark, d):
     return curate.remove_all_duplicates(table(spark, d, HTR), ["compound_id"]).select("rec_id", "compound_id")
 
 
-@R.query()
+@R.query(f"SELECT * FROM {HTR} ORDER BY ('0x' || substr(md5(concat_ws('|', rec_id, 17)), 1, 15))::BIGINT, rec_id LIMIT 1000")
 def cap_rows(spark, d):
     return curate.cap_rows(table(spark, d, HTR), "rec_id", 1000, seed=17)
 

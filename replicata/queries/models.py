@@ -174,7 +174,10 @@ def stratified_split(spark, d):
     return splits.stratified_split(table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id", "active"), "rec_id", "active", 0.1, 0.1)
 
 
-@R.query()
+_HASH = "('0x' || substr(md5(concat_ws('|', {})), 1, 15))::BIGINT"
+
+
+@R.query(f"SELECT id, {_POS} AS subset FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY {_HASH.format('o_orderkey, 17')}, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders)")
 def random_split(spark, d):
     return splits.random_split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", 0.1, 0.1, 17)
 
@@ -494,3 +497,104 @@ def permutation_importance(spark, d):
     data = _labelled(spark, d)
     m = models.fit(data.filter("subset = 'train'"), "linear", classification=False, seed=17)
     return models.permutation_importance(m, data.filter("subset <> 'train'"), "id", repeats=60, seed=17)
+
+
+@R.query()
+def network_predict(spark, d):
+    """A network of one hidden layer learns the label of a vector; training stops by the validation rows."""
+    from replicata.operators import networks
+
+    rows = _labelled(spark, d)
+    net, _, _ = networks.fit_network(rows, [16], "log", epochs=25, rate=0.02, seed=17)
+    return networks.predict_network(net, rows, "id", "log")
+
+
+@R.query()
+def impurity_importance(spark, d):
+    from replicata.operators import models
+
+    m = models.fit(_labelled(spark, d).filter("subset = 'train'"), "RF", classification=True, seed=17)
+    return models.impurity_importance(spark, m)
+
+
+@R.query()
+def rf_std(spark, d):
+    from replicata.operators import models
+
+    data = _labelled(spark, d)
+    m = models.fit(data.filter("subset = 'train'"), "RF", classification=False, seed=17)
+    return models.tree_std(m, data.filter("subset <> 'train'"), "id")
+
+
+_RHO = """WITH l AS (SELECT vec_id AS r, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+k AS (SELECT r, i, rank() OVER (PARTITION BY i ORDER BY x) + (count(*) OVER (PARTITION BY i, x) - 1) / 2.0e0 AS k FROM l)
+SELECT a.i::INT AS a, b.i::INT AS b, round(corr(a.k, b.k), 6) AS rho FROM k a JOIN k b USING (r) GROUP BY 1, 2"""
+
+
+@R.query(_RHO)
+def spearman_matrix(spark, d):
+    m = registry.spearman_matrix(table(spark, d, "embeddings"), "embedding")
+    return m.select("a", "b", r6(F.col("rho"), "rho"))
+
+
+@R.query()
+def feature_clusters(spark, d):
+    return registry.feature_clusters(registry.spearman_matrix(table(spark, d, "embeddings"), "embedding"), 1.3)
+
+
+@R.query()
+def cluster_importance(spark, d):
+    from replicata.operators import models
+
+    data = _labelled(spark, d)
+    m = models.fit(data.filter("subset = 'train'"), "linear", classification=False, seed=17)
+    clusters = registry.feature_clusters(registry.spearman_matrix(table(spark, d, "embeddings"), "embedding"), 1.3)
+    return models.cluster_importance(m, data.filter("subset <> 'train'"), "id", clusters, repeats=60, seed=17)
+
+
+@R.query()
+def bayes_search(spark, d):
+    """Twelve trials of a linear model's penalty, scored by r2 of the validation rows."""
+    from replicata.operators import metrics, models, tracking
+    from replicata.plans.storage import materialize
+
+    rows = materialize(_labelled(spark, d))
+
+    def score(p):
+        m = models.fit(rows.filter("subset = 'train'"), "linear", classification=False, regParam=p["penalty"], elasticNetParam=p["mix"])
+        v = rows.filter("subset = 'valid'")
+        return metrics.regression_metrics(models.predict(m, v, "id").join(v.select("id", "y"), "id"), "y", "pred", []).first().r2
+
+    got = tracking.bayes_search({"penalty": ("loguniform", 1e-4, 1.0), "mix": ("choice", [0.0, 0.5, 1.0])}, score, 12, start=6, seed=17)
+    return spark.createDataFrame([(i, float(g["params"]["penalty"]), g["params"]["mix"], g["loss"]) for i, g in enumerate(got)], "rank int, penalty double, mix double, loss double")
+
+
+@R.query("SELECT model_uuid, best_test_r2_score FROM pred_df WHERE best_test_r2_score IS NOT NULL AND NOT isnan(best_test_r2_score) AND model_uuid IS NOT NULL ORDER BY best_test_r2_score DESC, model_uuid LIMIT 20")
+def top_models(spark, d):
+    from replicata.operators import tracking
+
+    return tracking.top_models(table(spark, d, "pred_df").filter("model_uuid is not null").select("model_uuid", "best_test_r2_score"), "test_r2_score", 20)
+
+
+@R.query("SELECT ampl_version, count(*) AS n, split_part(ampl_version, '.', 1) || '.' || split_part(ampl_version, '.', 2) IN ('1.5', '1.6') AS fits FROM pred_df WHERE ampl_version IS NOT NULL GROUP BY 1")
+def compatible_versions(spark, d):
+    from replicata.operators import tracking
+
+    v = table(spark, d, "pred_df").filter("ampl_version is not null").groupBy("ampl_version").agg(F.count("*").alias("n"))
+    return v.withColumn("fits", tracking.compatible(F.col("ampl_version"), [["1.5", "1.6"], ["1.4"]], "1.6.1"))
+
+
+@R.query("SELECT format('compound_{:06d}', row_number() OVER (ORDER BY rec_id) - 1) AS gen_id, rec_id FROM htr3a_dtc_smiles_curated")
+def generated_ids(spark, d):
+    return curate.generated_ids(table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id"), "rec_id", "gen_id")
+
+
+@R.query("WITH c AS (SELECT source, relation, count(*) AS n FROM htr3a_dtc_smiles_curated WHERE relation IS NOT NULL GROUP BY 1, 2) SELECT source, relation AS mode, n AS mode_n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, relation) = 1")
+def modes(spark, d):
+    return curate.mode(table(spark, d, "htr3a_dtc_smiles_curated"), ["source"], "relation")
+
+
+@R.query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1")
+def group_quantiles(spark, d):
+    q = curate.quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return q.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])

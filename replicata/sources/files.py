@@ -126,3 +126,48 @@ def log_timings(spark: SparkSession, path: str, pattern: str = r"(\d+) days?, (\
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     g = lambda i: F.regexp_extract("value", pattern, i).cast("bigint")
     return t.filter(F.col("value").rlike(pattern)).select("path", (g(1) * 86400 + g(2) * 3600 + g(3) * 60 + g(4)).alias("seconds"))
+
+
+def fetch(spark: SparkSession, catalog: DataFrame, dataset_key: str | None = None, object_id: str | None = None, **options) -> DataFrame | dict[str, DataFrame]:
+    """SRC2, SRC3: the table of a catalogue record (``dataset_key, object_id, path``) by its key or its object id.
+
+    Archives of folders give a table per file, sheets of a workbook a table per sheet.  Raises if no record or more than one fits.
+    """
+    want = {"dataset_key": dataset_key, "object_id": object_id}
+    for k, v in want.items():
+        if v is not None:
+            catalog = catalog.filter(F.col(k) == v)
+    found = catalog.select("path").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} record for {want}")
+    path = found[0].path
+    if path.lower().endswith((".tar.gz", ".tgz", ".tar", ".zip")):
+        return archived_tables(spark, path, **options)
+    if path.lower().endswith((".xls", ".xlsx")):
+        if os.path.getsize(path) > _DRIVER_BYTES:
+            raise ValueError(f"{path} is larger than {_DRIVER_BYTES} bytes; convert it to parquet")
+        return {k: spark.createDataFrame(v) for k, v in pd.read_excel(path, sheet_name=None).items()}
+    return scan(spark, path, **options)
+
+
+def archived_tables(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
+    """SRC2: every table of an archive, unpacked into the shared folder once; members that would leave it are refused."""
+    import tarfile
+    import uuid
+    import zipfile
+
+    from replicata.plans.storage import shared_folder
+
+    target = f"{shared_folder(spark).removeprefix('file://')}/archive-{uuid.uuid4().hex}"
+    if path.lower().endswith(".zip"):
+        with zipfile.ZipFile(path) as z:
+            names = [n for n in z.namelist() if not n.endswith("/")]
+            if any(n.startswith("/") or ".." in n.split("/") for n in names):
+                raise ValueError("a member leaves the archive's folder")
+            z.extractall(target)
+    else:
+        with tarfile.open(path) as t:
+            names = [m.name for m in t if m.isfile()]
+            t.extractall(target, filter="data")
+    kinds = (".csv", ".tsv", ".txt", ".parquet", ".json", ".jsonl", ".orc", ".feather", ".pkl", ".csv.gz", ".csv.bz2")
+    return {n: scan(spark, f"{target}/{n}", **options) for n in names if n.lower().endswith(kinds)}
