@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replicata.functions.keys import hash60
 from replicata.plans.skew import HEAVY_ROWS, join_per_key
 from replicata.plans.storage import materialize, release
 
@@ -65,7 +66,7 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Data
 
 def unit_hash(*c: Column) -> Column:
     """A number in [0, 1) that depends on the values alone."""
-    return F.pmod(F.shiftrightunsigned(F.xxhash64(*c), 11), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    return hash60(*c) / F.lit(float(1 << 60))
 
 
 def split_by_shares(component: Column, train: Column, valid: Column, *salt: Column) -> Column:

@@ -152,6 +152,13 @@ SELECT split_uuid, fold, coalesce(c, m.k) AS group_cmpd_id FROM members m LEFT J
 WHERE m.k IS NOT NULL AND subset IS NOT NULL GROUP BY ALL HAVING count(DISTINCT subset) > 1
 """
 
+_P2_ASSIGNED = _P2[: _P2.index("SELECT split_uuid, fold, coalesce(c, m.k)")].rstrip() + """,
+reg AS (SELECT split_uuid, train_frac, valid_frac FROM split_registry QUALIFY row_number() OVER (PARTITION BY split_uuid ORDER BY created_at DESC NULLS LAST, reg_id DESC) = 1),
+m AS (SELECT DISTINCT split_uuid, fold, members.k, coalesce(c, members.k) AS c FROM members LEFT JOIN comp ON comp.k = members.k WHERE members.k IS NOT NULL),
+u AS (SELECT m.*, train_frac AS t, valid_frac AS v, ('0x' || substr(md5(concat_ws('|', c, m.split_uuid, fold)), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0e0 AS h FROM m LEFT JOIN reg ON reg.split_uuid = m.split_uuid)
+SELECT split_uuid, fold, k AS cmpd_key, c AS group_cmpd_id, CASE WHEN h < t THEN 'train' WHEN h < t + v THEN 'valid' WHEN t + v IS NOT NULL THEN 'test' END AS subset FROM u
+"""
+
 _P4 = f"""
 WITH {_STRUCTURE}, {_MEMBERS},
 texts AS (SELECT DISTINCT k, s FROM structures WHERE s IS NOT NULL),
@@ -196,4 +203,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p7_found": _P7, "p4_found": _P4, "p4_containment": _P4_CONTAINMENT, "p4_by_source": _P4_SOURCE}
+    return {"p2_found": _P2, "p2_assigned": _P2_ASSIGNED, "p3_found": _P3, "p7_found": _P7, "p4_found": _P4, "p4_containment": _P4_CONTAINMENT, "p4_by_source": _P4_SOURCE}
