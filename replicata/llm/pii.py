@@ -401,12 +401,16 @@ def decide(found: DataFrame, scored: DataFrame, accept: float, reject: float, su
         return join_per_key(rows, of(code).select("kind", F.col("pattern").alias(place), F.col("score").alias(score), "n"), ["kind", place], "n", how="left")
 
     leads = of("W ").filter("kind = 'name' and score >= 0.8 and seeds >= 10").select("kind", F.col("pattern").alias("lead"), F.lit(True).alias("is_lead"), "n")
-    rows = found.filter("kind <> 'text'").withColumn("lead", F.split_part("value", F.lit(" "), F.lit(1)))
-    rows = joined(joined(joined(rows, "L ", "left", "sl"), "W ", "near", "sn"), "R ", "right", "sr")
-    rows = join_per_key(rows, leads, ["kind", "lead"], "n", how="left")
+    # Candidates without a word before them match nothing; they are spread so that they don't all meet in one task.
+    nothing = F.concat(F.lit("\0"), F.pmod("uid", F.lit(1000)).cast("string"))
+    rows = found.filter("kind <> 'text'").withColumn("near", F.coalesce("near", nothing)).withColumn("lead", F.split_part("value", F.lit(" "), F.lit(1)))
     low = lambda c: F.coalesce(c, F.lit(-1.0))
     left = F.when(low(F.col("sl")) < accept, F.greatest(low(F.col("sl")), low(F.col("sn")))).otherwise(F.col("sl"))
-    rows = rows.withColumns({"l": left, "r": low(F.col("sr"))}).withColumn("best", F.greatest("l", "r"))
+    rows = joined(joined(rows, "L ", "left", "sl"), "W ", "near", "sn").withColumn("l", left).drop("left", "near", "sl", "sn")
+    # Single capitalised words stand everywhere; without a title or a left pattern they are no names, whatever follows.
+    rows = rows.filter((F.col("kind") != "name") | (F.col("form") != "W") | F.col("title") | (F.col("l") >= accept))
+    rows = join_per_key(joined(rows, "R ", "right", "sr"), leads, ["kind", "lead"], "n", how="left")
+    rows = rows.withColumn("r", low(F.col("sr"))).withColumn("best", F.greatest("l", "r"))
     l, r, best, seed, title, form, kind = (F.col(c) for c in ("l", "r", "best", "seed", "title", "form", "kind"))  # noqa: E741
     against = (r >= 0) & (r < reject)
     lacks = ((l >= 0) & (l < reject)) | against
