@@ -12,20 +12,29 @@ _PREFIX = "replicata-"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests, local mode), a new local one is made and recorded."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.replicata.localdir", None)
-    if not folder:
+    """This application's folder below the one named by ``spark.checkpoint.dir``; where that is unset (tests, local mode), below a new local one.
+
+    The folder is removed when the driver ends, with all tables that were not released before.
+    """
+    folder = spark.conf.get("spark.replicata.folder", None)
+    if folder:
+        return folder
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix=_PREFIX)
-        folder = "file://" + path
-        spark.conf.set("spark.replicata.localdir", folder)
+        base = "file://" + path
         import atexit
 
         atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return folder.rstrip("/")
+    folder = f"{base.rstrip('/')}/{_PREFIX}{spark.sparkContext.applicationId}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    spark.conf.set("spark.replicata.folder", folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
