@@ -64,6 +64,22 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> Data
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def related(records: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``node, component`` of the nodes that share entities, directly or through others; the component is its smallest node.
+
+    ``records``: ``node, entity``, of any types, repeated at will; rows with a null in either count for nothing.  Nodes are numbered in their order once, so that the rounds
+    shuffle numbers and their least values come from hash aggregates; the smallest number is still the smallest node.
+    """
+    from replicata.operators.joins import with_ordinal
+
+    pairs = materialize(records.filter("node is not null and entity is not null").select("node", "entity").distinct())
+    nodes = materialize(with_ordinal(pairs.select("node").distinct(), "node"))
+    edges = shared_entity_edges(pairs.join(nodes, "node").select(F.col("ordinal").alias("node"), "entity"), heavy_rows)
+    found = connected_components(edges, heavy_rows).withColumnsRenamed({"node": "n", "component": "c"})
+    own, first = nodes.withColumnRenamed("ordinal", "n"), nodes.select(F.col("ordinal").alias("c"), F.col("node").alias("component"))
+    return found.join(own, "n").join(first, "c").select("node", "component")
+
+
 def unit_hash(*c: Column) -> Column:
     """A number in [0, 1) that depends on the values alone."""
     return hash60(*c) / F.lit(float(1 << 60))

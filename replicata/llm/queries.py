@@ -17,7 +17,7 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "htr3a_dtc_smiles_curated").select(key_form(F.col("compound_id")).alias("node"), structure_form(F.col("base_rdkit_smiles")).alias("s"), "series_id")
     entity = lambda kind, x: F.when(x.isNotNull(), F.concat(F.lit(kind), F.md5(x)))
     records = c.select("node", F.explode(F.array(entity("s", F.col("s")), entity("r", F.col("series_id")))).alias("entity"))
-    return groups.connected_components(groups.shared_entity_edges(records))
+    return groups.related(records)
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
