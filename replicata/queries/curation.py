@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replicata.functions.numbers import argmax_class, no_nan, p_scale, predict_binding
-from replicata.operators import curate
+from replicata.operators import curate, frames
 from replicata.queries.registry import Registry
 from replicata.sources import catalog, files
 from replicata.sources.tables import table
@@ -68,7 +68,8 @@ def source_flagged(spark, d):
 
 @R.query("SELECT event_id, user_id AS key, round(-log10(value / 1e9), 6) AS pvalue FROM events WHERE event_type IN ('purchase', 'click') AND user_id IS NOT NULL AND value > 0")
 def source_units(spark, d):
-    return table(spark, d, "events").filter(F.col("event_type").isin("purchase", "click") & F.col("user_id").isNotNull() & (F.col("value") > 0)).select("event_id", F.col("user_id").alias("key"), r6(p_scale(F.col("value")), "pvalue"))
+    p = frames.potency_source(table(spark, d, "events"), "user_id", "value", "event_type", ["purchase", "click"], "pvalue", "event_id")
+    return p.withColumn("pvalue", r6(F.col("pvalue"), "pvalue"))
 
 
 @R.query("SELECT event_id, 'k' AS field, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -95,7 +96,7 @@ def neg_log_response(spark, d):
 
 @R.query("SELECT event_id, round(-log10(value / 1e9), 6) AS pxc50 FROM events")
 def pxc50(spark, d):
-    return table(spark, d, "events").select("event_id", r6(p_scale(F.col("value")), "pxc50"))
+    return frames.with_p_scale(table(spark, d, "events"), "value", "pxc50").select("event_id", r6(F.col("pxc50"), "pxc50"))
 
 
 @R.query("SELECT rec_id, CASE WHEN isnan(pic50) THEN NULL ELSE (pic50 > 5)::INT + (pic50 > 6.5)::INT END AS class FROM htr3a_dtc_smiles_curated")
@@ -111,7 +112,7 @@ def extra_results_unpivot(spark, d):
 
 @R.query("SELECT p_partkey, [p_size::DOUBLE, p_retailprice] AS features FROM part")
 def assemble_features(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("features"))
+    return frames.feature_array(table(spark, d, "part"), ["p_size", "p_retailprice"]).select("p_partkey", "features")
 
 
 @R.query(f"WITH {SPARSE} SELECT key, [(ta IS NOT NULL)::INT::DOUBLE, (tn IS NOT NULL)::INT::DOUBLE, (tr IS NOT NULL)::INT::DOUBLE] AS w FROM sparse")
@@ -121,14 +122,15 @@ def make_weights(spark, d):
 
 @R.query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity AS price_per_unit, l_tax / l_quantity AS tax_per_unit FROM lineitem")
 def scale_per_unit(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[(F.col(c) / F.col("l_quantity")).alias(n) for c, n in (("l_extendedprice", "price_per_unit"), ("l_tax", "tax_per_unit"))])
+    per = frames.per_unit(table(spark, d, "lineitem"), {"price_per_unit": "l_extendedprice", "tax_per_unit": "l_tax"}, "l_quantity")
+    return per.select("l_orderkey", "l_linenumber", "l_partkey", "price_per_unit", "tax_per_unit")
 
 
 @R.query("SELECT l_partkey AS id, round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 7) AS a_pred, round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 7) AS n_pred, round(stddev_pop(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 7) AS a_std, round(stddev_pop(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 7) AS n_std FROM lineitem GROUP BY 1")
 def prediction_frame(spark, d):
     long = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lower("l_returnflag").alias("task"), F.col("l_extendedprice").alias("p"))
-    wide = long.groupBy("id").pivot("task", ["a", "n"]).agg(F.round(F.avg("p"), 7).alias("pred"), F.round(F.stddev_pop("p"), 7).alias("std"))
-    return wide.select("id", "a_pred", "n_pred", "a_std", "n_std")
+    wide = frames.wide_predictions(long, "id", "task", "p", ["a", "n"])
+    return wide.select("id", *[F.round(c, 7).alias(c) for c in ("a_pred", "n_pred", "a_std", "n_std")])
 
 
 @R.query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS id, CASE WHEN o_totalprice > 50000 THEN o_totalprice * 2 END AS pred FROM orders")
@@ -142,21 +144,19 @@ def predict_order_restore(spark, d):
 @R.query("SELECT l_partkey AS model, UNNEST(['mae', 'n']) AS metric, UNNEST([round(avg(abs(l_extendedprice - 20000)), 7), count(*)::DOUBLE]) AS score FROM lineitem GROUP BY l_partkey")
 def explode_task_metrics(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("model")).agg(F.array(F.lit("mae"), F.lit("n")).alias("metric"), F.array(F.round(F.avg(F.abs(F.col("l_extendedprice") - 20000)), 7), F.count("*").cast("double")).alias("score"))
-    return g.select("model", F.inline(F.arrays_zip("metric", "score")))
+    return frames.explode_lists(g, ["model"], "metric", "score")
 
 
 @R.query("SELECT row_id, 'train' AS term, best_train_r2_score AS score FROM pred_df UNION ALL SELECT row_id, 'valid', best_valid_r2_score FROM pred_df UNION ALL SELECT row_id, 'test', best_test_r2_score FROM pred_df")
 def melt_terms(spark, d):
-    p = table(spark, d, "pred_df").select("row_id", F.col("best_train_r2_score").alias("train"), F.col("best_valid_r2_score").alias("valid"), F.col("best_test_r2_score").alias("test"))
-    return p.unpivot("row_id", ["train", "valid", "test"], "term", "score")
+    return frames.melt(table(spark, d, "pred_df"), ["row_id"], {s: f"best_{s}_r2_score" for s in ("train", "valid", "test")})
 
 
 @R.query("""WITH x AS (SELECT row_id, list_transform(string_split(layer_sizes, ','), lambda v: v::INT) AS l FROM pred_df WHERE layer_sizes IS NOT NULL)
 SELECT row_id, len(l)::INT AS n_layers, round(list_avg(l), 6) AS mean_size, list_aggregate(l, 'product')::BIGINT AS product FROM x""")
 def layer_stats(spark, d):
-    p = table(spark, d, "pred_df").filter("layer_sizes is not null").select("row_id", F.transform(F.split("layer_sizes", ","), lambda x: F.trim(x).try_cast("int")).alias("l"))
-    total = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return p.select("row_id", F.size("l").alias("n_layers"), r6(total / F.size("l"), "mean_size"), F.aggregate("l", F.lit(1).cast("bigint"), lambda a, x: a * x).alias("product"))
+    p = frames.list_numbers(table(spark, d, "pred_df").filter("layer_sizes is not null").select("row_id", "layer_sizes"), "layer_sizes", "l")
+    return frames.list_stats(p, "l").select("row_id", "n_layers", r6(F.col("mean_size"), "mean_size"), "product")
 
 
 # Filters
@@ -184,7 +184,7 @@ def down_select(spark, d):
 
 @R.query("SELECT rec_id FROM htr3a_dtc_smiles_curated WHERE relation IS DISTINCT FROM '~' AND series_id IS NOT NULL AND pic50 IS NOT NULL AND source IN ('dossier_a', 'dossier_b')")
 def eligible_rows(spark, d):
-    return table(spark, d, HTR).filter(~F.col("relation").eqNullSafe("~") & F.col("series_id").isNotNull() & F.col("pic50").isNotNull() & F.col("source").isin("dossier_a", "dossier_b")).select("rec_id")
+    return frames.eligible(table(spark, d, HTR), "relation", "~", ["series_id", "pic50"], "source", ["dossier_a", "dossier_b"]).select("rec_id")
 
 
 @R.query("SELECT row_id FROM pred_df WHERE NOT (" + " OR ".join(f"coalesce(isinf({c}), false)" for c in ["model_choice_score", *[f"best_{s}_{m}_score" for s in ("train", "valid", "test") for m in ("r2", "rms", "mae")]]) + ")")
@@ -245,8 +245,8 @@ def censored_mean(spark, d):
 SELECT key, CASE min(relation) WHEN '<' THEN min(value) WHEN '>' THEN max(value) ELSE round(avg(value), 6) END AS value, min(relation) AS relation FROM u GROUP BY key""")
 def union_aggregate(spark, d):
     a = assay_unmixed(spark, d).select("key", "value", "relation")
-    u = a.filter("value < 20").unionByName(a.filter("value >= 20 and value < 35")).unionByName(a.filter("value >= 35")).distinct()
-    return curate.censored_means(u, "key", "value", "relation", curate.replicate_rmsd(u, "key", "value", "relation")).select("key", F.round("value", 6).alias("value"), "relation")
+    u = frames.union_aggregate([a.filter("value < 20"), a.filter("value >= 20 and value < 35"), a.filter("value >= 35")], "key", "value", "relation")
+    return u.select("key", F.round("value", 6).alias("value"), "relation")
 
 
 @R.query(f"WITH {ASSAY}, g AS (SELECT count(*) AS n, var_pop(value) AS v FROM assay WHERE relation = '' GROUP BY key HAVING count(*) > 1) SELECT round(coalesce(sqrt(sum(n * v) / sum(n)), 1.0), 6) AS rmsd FROM g")
@@ -317,18 +317,17 @@ def compact_weights(spark, d):
 
 @R.query("SELECT count(*) > count(DISTINCT base_rdkit_smiles) AS has_dupes FROM htr3a_dtc_smiles_curated WHERE base_rdkit_smiles IS NOT NULL")
 def has_dupes(spark, d):
-    return table(spark, d, HTR).filter("base_rdkit_smiles is not null").agg((F.count("*") > F.count_distinct("base_rdkit_smiles")).alias("has_dupes"))
+    return frames.has_duplicates(table(spark, d, HTR), "base_rdkit_smiles")
 
 
 @R.query("SELECT count(DISTINCT p_partkey) AS keys, count(DISTINCT (p_size, p_brand)) AS features, count(DISTINCT p_partkey) <> count(DISTINCT (p_size, p_brand)) AS collides FROM part")
 def feature_collisions(spark, d):
-    k, f = F.count_distinct("p_partkey"), F.count_distinct("p_size", "p_brand")
-    return table(spark, d, "part").agg(k.alias("keys"), f.alias("features"), (k != f).alias("collides"))
+    return frames.collisions(table(spark, d, "part"), "p_partkey", ["p_size", "p_brand"])
 
 
 @R.query(f"WITH {SPARSE} SELECT key % 37 AS scaffold, count(ta) AS wa, count(tn) AS wn, count(tr) AS wr FROM sparse GROUP BY 1")
 def scaffold_hist(spark, d):
-    return sparse_tasks(spark, d).groupBy((F.col("key") % 37).alias("scaffold")).agg(F.count("ta").alias("wa"), F.count("tn").alias("wn"), F.count("tr").alias("wr"))
+    return frames.group_weights(sparse_tasks(spark, d), F.col("key") % 37, "scaffold", {"wa": "ta", "wn": "tn", "wr": "tr"})
 
 
 @R.query("SELECT subset, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM (SELECT CASE WHEN lower(trim(subset)) IN ('train', 'valid', 'test') THEN lower(trim(subset)) END AS subset FROM split_table) WHERE subset IS NOT NULL GROUP BY 1")
@@ -341,12 +340,12 @@ def split_fractions(spark, d):
 
 @R.query("SELECT source, round(100 * avg(active), 6) AS pct_active FROM htr3a_dtc_smiles_curated WHERE source IS NOT NULL GROUP BY 1")
 def pct_active(spark, d):
-    return table(spark, d, HTR).filter("source is not null").groupBy("source").agg(r6(100 * F.avg("active"), "pct_active"))
+    return frames.percent_active(table(spark, d, HTR), "source", "active").select("source", r6(F.col("pct_active"), "pct_active"))
 
 
 @R.query("SELECT source, count(DISTINCT compound_id) AS compounds, count(*) AS n FROM htr3a_dtc_smiles_curated GROUP BY 1")
 def value_counts(spark, d):
-    return table(spark, d, HTR).groupBy("source").agg(F.count_distinct("compound_id").alias("compounds"), F.count("*").alias("n"))
+    return frames.distinct_counts(table(spark, d, HTR), "source", "compound_id", "compounds")
 
 
 def _members(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from replicata.functions.keys import subset_form
-from replicata.operators import curate, distance, joins, registry, splits
+from replicata.operators import curate, distance, frames, joins, registry, splits
 from replicata.queries.curation import SPARSE, r6, sparse_tasks
 from replicata.queries.modelling import _EUC, _queries, _vectors
 from replicata.queries.registry import Registry
@@ -34,13 +34,13 @@ def label_split(spark, d):
 @R.query(f"WITH {_SPLIT} SELECT subset, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN s ON s.id = l_orderkey GROUP BY 1")
 def join_split_inner(spark, d):
     l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_quantity")  # noqa: E741
-    return l.join(_split(spark, d), "id").groupBy("subset").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    return frames.inner_with(l, _split(spark, d), "id").groupBy("subset").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @R.query("SELECT l_orderkey, l_linenumber, l_partkey, p_size, p_retailprice FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10")
 def join_descriptors(spark, d):
     p = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left")
+    return frames.lookup(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), p, "l_partkey")
 
 
 @R.query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN p_size > 25 THEN p_retailprice ELSE l_partkey * 2.0 END AS feature FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
@@ -72,22 +72,21 @@ def shared_keys(spark, d):
 
 @R.query("SELECT s.s_suppkey, s.s_name, n.n_name AS structure FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey")
 def attach_structures(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.regexp_replace("n_name", "['\"]", "").alias("structure"))
-    return table(spark, d, "supplier").join(n, "s_nationkey").select("s_suppkey", "s_name", "structure")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), frames.unquoted(F.col("n_name")).alias("structure"))
+    return frames.inner_with(table(spark, d, "supplier"), n, "s_nationkey").select("s_suppkey", "s_name", "structure")
 
 
 @R.query("SELECT row_id, model_choice_score, p.max_epochs FROM pred_df JOIN (SELECT row_id, json_extract_string(model_parameters_dict, '$.max_epochs') AS max_epochs FROM pred_df WHERE model_type = 'NN') p USING (row_id)")
 def perf_param_join(spark, d):
     p = table(spark, d, "pred_df")
     params = p.filter("model_type = 'NN'").select("row_id", F.get_json_object("model_parameters_dict", "$.max_epochs").alias("max_epochs"))
-    return p.select("row_id", "model_choice_score").join(params, "row_id")
+    return frames.inner_with(p.select("row_id", "model_choice_score"), params, "row_id")
 
 
 @R.query("SELECT coalesce(a.k, b.k) AS key, a.k IS NOT NULL AS in_perf, b.k IS NOT NULL AS in_files FROM (SELECT DISTINCT split_uuid AS k FROM pred_df WHERE split_uuid IS NOT NULL) a FULL JOIN (SELECT DISTINCT split_uuid AS k FROM split_registry) b ON a.k = b.k")
 def perf_files_outer(spark, d):
-    a = table(spark, d, "pred_df").filter("split_uuid is not null").select(F.col("split_uuid").alias("key")).distinct().withColumn("in_perf", F.lit(True))
-    b = table(spark, d, "split_registry").select(F.col("split_uuid").alias("key")).distinct().withColumn("in_files", F.lit(True))
-    return a.join(b, "key", "full_outer").select("key", F.coalesce("in_perf", F.lit(False)).alias("in_perf"), F.coalesce("in_files", F.lit(False)).alias("in_files"))
+    k = lambda t: table(spark, d, t).select(F.col("split_uuid").alias("key"))
+    return frames.present_in(k("pred_df"), k("split_registry"), "key", "in_perf", "in_files")
 
 
 @R.query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
@@ -100,7 +99,8 @@ def select_by_ids(spark, d):
 def outer_merge_targets(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
     a = l.filter("l_returnflag = 'A' and l_linenumber = 1").groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_quantity").alias("qa"))
-    return a.join(l.filter("l_returnflag = 'R' and l_linenumber = 2").groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_quantity").alias("qr")), "key", "full_outer")
+    r = l.filter("l_returnflag = 'R' and l_linenumber = 2").groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_quantity").alias("qr"))
+    return frames.outer_merge(a, r, ["key"])
 
 
 # Sets
@@ -108,8 +108,7 @@ def outer_merge_targets(spark, d):
 
 @R.query("SELECT c_nationkey AS key FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation")
 def union_keys(spark, d):
-    k = lambda t, c: table(spark, d, t).select(F.col(c).alias("key"))
-    return k("customer", "c_nationkey").union(k("supplier", "s_nationkey")).union(k("nation", "n_nationkey")).distinct()
+    return frames.distinct_keys([(table(spark, d, t), c) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))])
 
 
 @R.query("SELECT o_custkey AS key FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
@@ -119,13 +118,13 @@ def intersect_keys(spark, d):
 
 @R.query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def except_keys(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("key")).join(table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("key")), "key", "left_anti")
+    k = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("key"))
+    return frames.keys_without(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), k, "key")
 
 
 @R.query("SELECT 'customer' AS source, c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_name, s_acctbal FROM supplier")
 def union_sources(spark, d):
-    c = table(spark, d, "customer").select(F.lit("customer").alias("source"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    return c.unionByName(table(spark, d, "supplier").withColumnsRenamed({"s_name": "name", "s_acctbal": "balance"}).select(F.lit("supplier").alias("source"), "name", "balance"))
+    return frames.stack_sources({n: (table(spark, d, n), {"name": f"{n[0]}_name", "balance": f"{n[0]}_acctbal"}) for n in ("customer", "supplier")})
 
 
 @R.query(f"WITH {_SPLIT}, a AS (SELECT * FROM s WHERE o_totalprice > 60000), b AS (SELECT * FROM s WHERE o_totalprice < 400000), j AS (SELECT coalesce(a.subset, b.subset) AS subset, coalesce(a.fold, b.fold) AS fold, a.id AS i, b.id AS j FROM a FULL JOIN b ON a.id = b.id AND a.subset = b.subset AND a.fold = b.fold) SELECT subset, fold, count(i) AS n_a, count(j) AS n_b, count(*) FILTER (WHERE j IS NULL) AS only_a, count(*) FILTER (WHERE i IS NULL) AS only_b FROM j GROUP BY 1, 2")
@@ -357,7 +356,7 @@ def perf_summary(spark, d):
 @R.query("SELECT row_id, CASE WHEN isnan(model_choice_score) THEN NULL ELSE model_choice_score END AS score FROM pred_df")
 def perf_sorted(spark, d):
     p = curate_nan(table(spark, d, "pred_df"))
-    return p.select("row_id", F.col("model_choice_score").alias("score")).orderBy(F.col("score").desc_nulls_last(), "row_id")
+    return frames.sort_by_score(p.select("row_id", F.col("model_choice_score").alias("score")), "score", "row_id")
 
 
 @R.query("SELECT dataset_key, row_id, CASE WHEN best_valid_r2_score = 0 THEN 0.0 ELSE best_valid_r2_score END AS best_valid_r2_score FROM pred_df WHERE dataset_key IS NOT NULL AND best_valid_r2_score IS NOT NULL AND NOT isnan(best_valid_r2_score) QUALIFY row_number() OVER (PARTITION BY dataset_key ORDER BY best_valid_r2_score DESC, row_id) = 1")
@@ -373,8 +372,8 @@ def multitask_perf(spark, d):
 
 @R.query("SELECT row_id, coalesce(model_type, 'unknown') || ' model on ' || coalesce(features, 'unknown') || ' by ' || coalesce(splitter, 'unknown') || ' split' AS summary FROM pred_df")
 def metadata_summary(spark, d):
-    o = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
-    return table(spark, d, "pred_df").select("row_id", F.format_string("%s model on %s by %s split", o("model_type"), o("features"), o("splitter")).alias("summary"))
+    p = table(spark, d, "pred_df")
+    return p.select("row_id", frames.describe_models(p, "%s model on %s by %s split", ["model_type", "features", "splitter"]).alias("summary"))
 
 
 @R.query("SELECT dataset_key, list_sort(list(DISTINCT split_uuid)) AS models, count(DISTINCT split_uuid) AS n_models FROM split_registry GROUP BY 1")
@@ -384,9 +383,8 @@ def dataset_models(spark, d):
 
 @R.query("WITH b AS (SELECT * FROM pred_df WHERE dataset_key IS NOT NULL AND model_type IS NOT NULL AND model_choice_score IS NOT NULL AND NOT isnan(model_choice_score) QUALIFY row_number() OVER (PARTITION BY dataset_key, model_type ORDER BY model_choice_score DESC, row_id) = 1) SELECT row_id, round(abs(best_test_r2_score - best_valid_r2_score), 6) AS abs_error FROM b")
 def abs_error(spark, d):
-    p = table(spark, d, "pred_df")
-    best = registry.best_model(p, ["dataset_key", "model_type"], "model_choice_score", "row_id").select("row_id")
-    return p.join(best, "row_id", "left_semi").select("row_id", r6(F.abs(F.col("best_test_r2_score") - F.col("best_valid_r2_score")), "abs_error"))
+    e = frames.best_model_errors(table(spark, d, "pred_df"), ["dataset_key", "model_type"], "model_choice_score", "row_id", "best_test_r2_score", "best_valid_r2_score")
+    return e.select("row_id", r6(F.col("abs_error"), "abs_error"))
 
 
 @R.query("SELECT DISTINCT lower(splitter) AS value FROM split_registry WHERE splitter IS NOT NULL")
@@ -434,8 +432,7 @@ def hpo_layers(spark, d):
 
 @R.query("SELECT dataset_key, model_type, features FROM (SELECT DISTINCT dataset_key FROM split_registry), (SELECT unnest(['NN', 'RF']) AS model_type), (SELECT unnest(['ecfp', 'rdkit_raw']) AS features)")
 def hpo_jobs(spark, d):
-    shortlist = table(spark, d, "split_registry").select("dataset_key").distinct()
-    return shortlist.crossJoin(F.broadcast(registry.grid(spark, {"model_type": ["NN", "RF"], "features": ["ecfp", "rdkit_raw"]})))
+    return frames.expand_shortlist(table(spark, d, "split_registry").select("dataset_key").distinct(), {"model_type": ["NN", "RF"], "features": ["ecfp", "rdkit_raw"]})
 
 
 @R.query("SELECT DISTINCT s.dataset_key, t.model_type FROM split_registry s, (SELECT unnest(['NN', 'RF', 'GCNModel']) AS model_type, unnest([200, 300, 900]) AS params) t WHERE NOT EXISTS (SELECT 1 FROM pred_df p WHERE p.dataset_key = s.dataset_key AND p.model_type = t.model_type AND p.best_test_r2_score > 0.8) AND t.params * 2.0 < 1500")
