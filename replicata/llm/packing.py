@@ -130,8 +130,11 @@ def pack(items: DataFrame, targets: DataFrame, group_items: int = 20_000) -> Dat
     """
     items = materialize(items.filter("n_tokens is not null").select("doc_id", "n_tokens"))
     groups = max(1, -(-items.count() // group_items))
-    t = F.broadcast(targets.filter("capacity_tokens > 0").select("target_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))) if targets.count() <= 10_000 else targets
-    dealt = items.crossJoin(t).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    # The targets are a short list of sizes: literals, of which every item gets each.
+    sizes = [F.struct(F.lit(r.target_id).cast("int").alias("target_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity")) for r in targets.filter("capacity_tokens > 0").select("target_id", "capacity_tokens").toLocalIterator()]
+    if not sizes:
+        return items.sparkSession.createDataFrame([], _PACKED)
+    dealt = items.select("*", F.inline(F.array(*sizes))).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
 
     def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
         target, grp = key
