@@ -83,7 +83,7 @@ _RUN = re.compile(rf"(?<![\w@./-])(?:{_UP}\.(?=[ ]{_UP})|{_NAMEPART}(?![\w@/]|-\
 _MORE = rf"(?:[ ][a-zß-öø-ÿ]{{1,5}}'?){{1,2}}[ ]?{_NAMEPART}(?:[ ]{_NAMEPART})?"
 _HOUSE_AFTER = re.compile(rf"(?:{_MORE})?,?[ ]\d{{1,4}}[ ]?[A-Za-z]?(?![\w.])")
 _WORDS_AFTER = re.compile(rf"(?:{_MORE})?(?!\w)")
-_HOUSE_BEFORE = re.compile(r"(?<![\w/.,-])(?<!\d[ ])\d{1,4}[A-Za-z]?,?[ ](?:[a-zß-öø-ÿ]{2,10}[ ]){0,2}$")
+_HOUSE_BEFORE = re.compile(rf"(?=\d)(?<![\w/.,-])(?<!\d[ ])\d{{1,4}}[A-Za-z]?,?[ ](?:[a-zß-öø-ÿ]{{2,10}}[ ]){{0,2}}(?={_UP})")
 _TAIL = re.compile(rf"(?:,[ ]|\n|[ ])(?:(?:[A-Z]{{1,2}}-)?\d{{4,6}}[ ]{_TOWN}|{_TOWN},?[ ]{_POSTCODE})")
 _PIECE = re.compile(rf"{_NAMEPART}|{_UP}\.|,")
 _CONTEXT = re.compile(r"\n|[^\W\d_]+|\d+|[^\w\s]|\x01+|\x02+|\x03+|\x04+")
@@ -102,6 +102,7 @@ class Lexicon:
         self.family = {t.casefold() for t, r in rows if t and r == "family"}
 
         self._parts: dict[str, list[str]] = {}
+        self._known: dict[str, bool] = {}
 
     def has(self, token: str, role: set[str]) -> bool:
         parts = self._parts.get(token)
@@ -111,6 +112,15 @@ class Lexicon:
             parts = self._parts[token] = [p.casefold() for p in re.split("['’-]", token)]
         return all(p in role for p in parts)
 
+    def known(self, token: str) -> bool:
+        """Whether a word is a given or a family name."""
+        found = self._known.get(token)
+        if found is None:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            found = self._known[token] = self.has(token, self.given) or self.has(token, self.family)
+        return found
+
     def seed(self, form: str, parts: list[str]) -> bool:
         """Whether the lexicon alone shows a full name."""
         if form in ("WW", "WIW"):
@@ -145,11 +155,6 @@ class Context:
         found = list(_CONTEXT.finditer(text))
         self.text, self.toks, self.starts = text, [m[0] for m in found], [m.start() for m in found]
 
-    def number_near(self, start: int, end: int) -> bool:
-        """Whether a number is one of the four tokens before or the five after a stretch."""
-        i, j = bisect_left(self.starts, start), bisect_left(self.starts, end)
-        return any(t[0].isdigit() for t in self.toks[max(0, i - 4) : i]) or any(t[0].isdigit() for t in self.toks[j : j + 5])
-
     @staticmethod
     def _shape(t: str | None) -> str:
         """A token by kind: numbers, masks and capitalised words lose their text."""
@@ -238,35 +243,46 @@ def shaped(text: str) -> tuple[list[Candidate], str]:
     return out + found, mask(masked, found)
 
 
-def _address_around(masked: str, run: re.Match) -> Candidate | None:
+def _address_around(masked: str, s: int, e: int, houses: dict[int, int]) -> Candidate | None:
     """The address without a known street word that a run of capitalised words can be part of: a number beside it, and as far as written post code and town.
 
-    ``form``: ``T`` with post code and town, else ``N``.
+    ``houses``: where numbers begin that stand before capitalised words, by where those begin.  ``form``: ``T`` with post code and town, else ``N``.
     """
-    s, e = run.span()
-    after = _HOUSE_AFTER.match(masked, e)
+    after = _HOUSE_AFTER.match(masked, e) if masked[e : e + 1] in (" ", ",") else None
     if after:
         e = after.end()
-    else:
-        before = _HOUSE_BEFORE.search(masked, max(0, s - 30), s)
-        if not before:
-            return None
+    elif s in houses:
         words = _WORDS_AFTER.match(masked, e)
-        s, e = before.start(), words.end() if words else e
+        s, e = houses[s], words.end() if words else e
+    else:
+        return None
     tail = _TAIL.match(masked, e)
     if tail:
         e = tail.end()
     return Candidate("address", s, e, masked[s:e], False, "T" if tail else "N")
 
 
-def named(masked: str, at: Context, lexicon: Lexicon) -> tuple[list[Candidate], list[Candidate]]:
-    """Names that the runs of capitalised words in a masked text can hold, and addresses without a known street word around them."""
+def named(masked: str, lexicon: Lexicon) -> tuple[list[tuple], list[Candidate]]:
+    """Names that the runs of capitalised words in a masked text can hold, as ``(start, end, value, seed, form, outer)``, and addresses without a
+    known street word around them.
+
+    ``outer``: 1 for the longest name at its start, whose left pattern counts, plus 2 for the longest at its end, whose right pattern counts.
+    """
     out, places, done = [], [], 0
+    houses = {m.end(): m.start() for m in _HOUSE_BEFORE.finditer(masked)}
     for run in _RUN.finditer(masked):
-        for s, e, form, words in _spans(run):
-            if words[0].casefold() not in TITLES:
-                out.append(Candidate("name", s, e, masked[s:e], form != "W" and lexicon.seed(form, words), form))
-        if run.start() >= done and at.number_near(*run.span()) and (place := _address_around(masked, run)):
+        s, e = run.span()
+        text = run[0]
+        if " " not in text:
+            if len(text) > 2 and text.casefold() not in TITLES:
+                out.append((s, e, text, False, "W", 3))
+        else:
+            spans = [x for x in _spans(run) if x[3][0].casefold() not in TITLES]
+            longest, earliest = {}, {}
+            for a, z, *_ in spans:
+                longest[a], earliest[z] = max(z, longest.get(a, z)), min(a, earliest.get(z, a))
+            out += [(a, z, masked[a:z], form != "W" and lexicon.seed(form, words), form, (longest[a] == z) + 2 * (earliest[z] == a)) for a, z, form, words in spans]
+        if s >= done and (place := _address_around(masked, s, e, houses)):
             places.append(place)
             done = place.end
     return out, places
@@ -276,46 +292,22 @@ def is_title(word: str) -> bool:
     return word.rstrip(".").casefold() in TITLES
 
 
-def _outermost(names: list[Candidate]) -> tuple[list[Candidate], list[Candidate]]:
-    """For each start the longest candidate (its left pattern counts), for each end the longest (its right pattern counts)."""
-    by_start, by_end = {}, {}
-    for c in names:
-        if c.start not in by_start or by_start[c.start].end < c.end:
-            by_start[c.start] = c
-        if c.end not in by_end or by_end[c.end].start > c.start:
-            by_end[c.end] = c
-    return list(by_start.values()), list(by_end.values())
-
-
 _CANDIDATES = "uid bigint, doc_id bigint, kind string, start int, end int, value string, seed boolean, form string, left string, near string, right string, title boolean, known boolean, outer int"
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32()]
 
 
 def candidates_of(text: str, lexicon: Lexicon) -> list[tuple]:
-    """Everything in a text that may be personal data: the columns of ``_CANDIDATES`` from ``kind`` on.
-
-    ``outer``: 1 for the longest name at its start, whose left pattern counts, plus 2 for the longest at its end, whose right pattern counts.
-    """
+    """Everything in a text that may be personal data: the columns of ``_CANDIDATES`` from ``kind`` on."""
     found, masked = shaped(text)
+    names, places = named(masked, lexicon)
     at = Context(masked)
-    names, places = named(masked, at, lexicon)
-    lefts: dict[int, tuple[str, str]] = {}
-    rights: dict[int, str] = {}
-    starts, ends = _outermost(names)
-    first, last = {id(c) for c in starts}, {id(c) for c in ends}
-    out = []
-    for c in [*found, *places, *names]:
-        if c.start not in lefts:
-            lefts[c.start] = at.left(c.start)
-        if c.end not in rights:
-            rights[c.end] = at.right(c.end)
-        left, near = lefts[c.start]
-        if c.kind == "name":
-            word = c.value.partition(" ")[0]
-            known = lexicon.has(word, lexicon.given) or lexicon.has(word, lexicon.family)
-            out.append((c.kind, c.start, c.end, c.value, c.seed, c.form, left, near or None, rights[c.end], is_title(near), known, (id(c) in first) + 2 * (id(c) in last)))
-        else:
-            out.append((c.kind, c.start, c.end, c.value, c.seed, c.form, left, None, rights[c.end], False, False, 3))
+    out = [(c.kind, c.start, c.end, c.value, c.seed, c.form, at.left(c.start)[0], None, at.right(c.end), False, False, 3) for c in [*found, *places]]
+    last, pattern, title = -1, ("", ""), False
+    for start, end, value, seed, form, outer in names:
+        if start != last:
+            last, pattern = start, at.left(start)
+            title = is_title(pattern[1])
+        out.append(("name", start, end, value, seed, form, pattern[0], pattern[1] or None, at.right(end), title, lexicon.known(value.partition(" ")[0]), outer))
     return out
 
 
