@@ -151,18 +151,18 @@ def filter_jobs(jobs: DataFrame, done: DataFrame, keys: list[str], params: str,
 
 def feature_stats(df: DataFrame, features: str, label: str | None = None) -> DataFrame:
     """FI1: per place of an array: n, mean, population deviation; with a 0/1 label the t statistic of equal variances between 1 and 0."""
-    cols = [features] + ([label] if label else [])
-    long = df.select(*[F.col(c) for c in cols[1:]], F.posexplode(features).alias("feature", "x")).withColumn("x", no_nan(F.col("x").cast("double")))
-    agg = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
-    if label:
-        for v in (0, 1):
-            x = F.when(F.col(label) == v, F.col("x"))
-            agg += [F.count(x).alias(f"_n{v}"), F.avg(x).alias(f"_m{v}"), F.var_samp(x).alias(f"_v{v}")]
-    g = long.groupBy("feature").agg(*agg)
+    from replicata.operators.transform import array_moments, merged_moments
+    from replicata.plans.storage import materialize
+
+    per = array_moments(df, features, label)
+    per = materialize(per) if label else per
+    g = merged_moments(per, ["feature"]).select("feature", "n", "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"))
     if label:
-        pooled = F.try_divide((F.col("_n1") - 1) * F.col("_v1") + (F.col("_n0") - 1) * F.col("_v0"), F.col("_n1") + F.col("_n0") - 2)
-        t = F.try_divide(F.col("_m1") - F.col("_m0"), F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("_n1")) + F.try_divide(F.lit(1.0), F.col("_n0")))))
-        g = g.withColumn("t", t).drop(*[f"_{c}{v}" for c in "nmv" for v in (0, 1)])
+        side = lambda v, c: F.max(F.when(F.col("label") == v, F.col(c)))
+        s = per.groupBy("feature").agg(*[side(v, c).alias(f"{c}{v}") for c in ("n", "mean", "m2") for v in (0, 1)])
+        pooled = F.try_divide(F.col("m20") + F.col("m21"), F.col("n1") + F.col("n0") - 2)
+        t = F.try_divide(F.col("mean1") - F.col("mean0"), F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n0")))))
+        g = g.join(s.select("feature", t.alias("t")), "feature")
     return g
 
 

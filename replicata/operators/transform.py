@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +39,59 @@ def untransform_y(df: DataFrame, tasks: list[str], stats: DataFrame) -> DataFram
     return df.crossJoin(F.broadcast(stats)).select(*[c for c in df.columns if c not in tasks], *[(F.col(t) * _scale(F.col(f"std_{t}")) + F.col(f"mean_{t}")).alias(t) for t in tasks])
 
 
+def array_moments(df: DataFrame, features: str, label: str | None = None) -> DataFrame:
+    """``label, feature, n, mean, m2``: count, mean and squared deviations from it by place of an array and by an integer label (missing label: -1; without one 0).
+
+    Missing numbers are left out, arrays may differ in length.  A task merges its batches as matrices, so that rows are not multiplied by features; one row per
+    task, label and feature is shuffled.
+    """
+    from replicata.plans.storage import materialize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = np.diff(b.column("v").offsets.to_numpy())
+            flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(float)
+            x = np.full((b.num_rows, int(sizes.max(initial=0))), np.nan)
+            x[np.arange(x.shape[1])[None, :] < sizes[:, None]] = flat
+            labels = b.column("y").to_numpy(zero_copy_only=False)
+            for y in np.unique(labels).tolist():
+                part = x[labels == y]
+                n = (~np.isnan(part)).sum(0).astype(float)
+                mean = np.nansum(part, axis=0) / np.maximum(n, 1)
+                m2 = np.nansum((part - mean) ** 2, axis=0)
+                if y in held:
+                    w = max(len(n), len(held[y][0]))
+                    (n, mean, m2), (n1, mean1, m21) = ([np.pad(v, (0, w - len(v))) for v in side] for side in ((n, mean, m2), held[y]))
+                    total, d = np.maximum(n + n1, 1), mean - mean1
+                    n, mean, m2 = n + n1, mean1 + d * n / total, m2 + m21 + d * d * n * n1 / total
+                held[y] = [n, mean, m2]
+        for y, (n, mean, m2) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), y, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n.astype(np.int64)), pa.array(mean), pa.array(m2)], ["label", "feature", "n", "mean", "m2"])
+
+    y = F.coalesce(F.col(label).cast("int"), F.lit(-1)) if label else F.lit(0)
+    rows = df.filter(F.col(features).isNotNull()).select(F.transform(features, lambda x: x.cast("double")).alias("v"), y.alias("y"))
+    return merged_moments(materialize(rows.mapInArrow(run, "label int, feature int, n bigint, mean double, m2 double")), ["label", "feature"])
+
+
+def merged_moments(parts: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, n, mean, m2`` of moments that belong together; parts without values count for nothing."""
+    own = parts.filter("n > 0")
+    mean = own.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m"))
+    return own.join(mean, by).groupBy(*by).agg(F.sum("n").alias("n"), F.max("_m").alias("mean"), F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_m")) * (F.col("mean") - F.col("_m"))).alias("m2"))
+
+
 def x_stats(df: DataFrame, features: str) -> DataFrame:
     """One row ``means, stds`` of an array column by place; missing values are left out, a place without any has mean and std 0."""
-    long = df.select(F.posexplode(features).alias("i", "x")).withColumn("x", no_nan(F.col("x").cast("double")))
-    per = long.groupBy("i").agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("m"), F.coalesce(F.stddev_pop("x"), F.lit(0.0)).alias("s"))
-    # One entry per feature, not per row.
-    return per.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("l")).select(F.col("l.m").alias("means"), F.col("l.s").alias("stds"))
+    per = array_moments(df, features)
+    last = per.agg(F.coalesce(F.max("feature"), F.lit(-1)).alias("last"))
+    # One entry per feature, not per row; places without a value have no moments.
+    found = per.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"))))).alias("m"))
+    places = F.when(F.col("last") >= 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array().cast("array<int>"))
+    take = lambda c: F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i)[c], F.lit(0.0)))
+    return found.crossJoin(last).select(take("mean").alias("means"), take("std").alias("stds"))
 
 
 def normalize_x(df: DataFrame, features: str, stats: DataFrame | None = None) -> DataFrame:

@@ -267,3 +267,18 @@ def test_selection_and_clusters(spark):
     c = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "feature int, cluster int")
     got = {r.cluster: r.importance for r in models.cluster_importance(m, data, "id", c, repeats=3).collect()}
     assert got[1] > 0.5 and abs(got[2]) < 1e-6
+
+
+def test_array_moments(spark):
+    from replicata.operators.transform import array_moments, normalize_x, x_stats
+
+    rng = np.random.default_rng(10)
+    data = [(int(i % 3) if i % 7 else None, [None if rng.random() < 0.2 else float("nan") if rng.random() < 0.1 else float(v) for v in rng.normal(1e6, 1, 2 + i % 2)]) for i in range(60)] + [(0, None), (0, [])]
+    df = spark.createDataFrame(data, "y int, v array<double>").repartition(3)
+    for r in array_moments(df, "v", "y").collect():
+        x = [row[r.feature] for y, row in data if row and len(row) > r.feature and (y if y is not None else -1) == r.label and row[r.feature] is not None and not math.isnan(row[r.feature])]
+        assert r.n == len(x) and abs(r.mean - np.mean(x)) < 1e-6 and abs(r.m2 - np.var(x) * len(x)) < 1e-6
+    s = x_stats(df, "v").first()
+    assert len(s.means) == len(s.stds) == 3 and abs(s.stds[0] - np.std([v[0] for _, v in data if v and v[0] is not None and not math.isnan(v[0])])) < 1e-6
+    empty = x_stats(df.limit(0), "v").first()
+    assert empty.means == [] and empty.stds == [] and normalize_x(df.limit(0), "v").count() == 0
