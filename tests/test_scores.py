@@ -119,7 +119,8 @@ def test_splits_are_disjoint_and_complete(spark):
 
 def test_genetic_split_improves(spark):
     h = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(np.random.default_rng(0).integers(1, 30, (40, 2)))], "g int, a int, b int")
-    s = splits.genetic_group_split(h, "g", ["a", "b"], {"train": 0.8, "valid": 0.1, "test": 0.1}, generations=15, population=30, seed=3)
+    long = h.select(F.col("g").alias("group"), F.inline(F.array(*[F.struct(F.lit(i).alias("task"), F.lit(0).alias("bin"), F.col(c).alias("n")) for i, c in enumerate("ab")])))
+    s = splits.genetic_group_split(long, 40, 2, weights=(0.0, 0.0, 1.0, 0.0), generations=15, population=30, seed=3).select(F.col("group").alias("g"), "subset")
     total = s.join(h, "g").groupBy("subset").agg(F.sum("a").alias("a")).collect()
     share = {r.subset: r.a / sum(x.a for x in total) for r in total}
     assert abs(share["train"] - 0.8) < 0.12
