@@ -62,4 +62,4 @@ def descriptor_slot(compute: Callable[[str], list[float] | None]) -> Callable[[C
 def ngram_fingerprint(c: Column, n: int = 3, bits: int = 1024) -> Column:
     """Set bits of hashed character n-grams, sorted: the stand-in for a structure's fingerprint; null stays null, short texts have none."""
     grams = F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.pmod(F.xxhash64(F.substr(c, i, F.lit(n))), F.lit(bits)).cast(IntegerType()))).otherwise(F.array().cast("array<int>"))
-    return F.when(c.isNotNull(), F.array_sort(F.array_distinct(grams)))
+    return F.when(c.isNotNull(), F.sort_array(F.array_distinct(grams)))

@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_VALUES = 4_000_000  # numbers in a block of queries (32 MB)
 PAIR_VALUES = 4_000_000  # distances that a task holds at once (32 MB)
+AXES = 64  # directions in which sets are compared before their elements are counted
+TILE = 1024  # queries and rows that are compared at once (4 MB)
 
 
 def _matrix(column: pa.ListArray | pa.FixedSizeListArray) -> np.ndarray:
@@ -158,8 +161,10 @@ def _per_query(queries: DataFrame, rows: DataFrame, metric: str, cutoff: float |
 def tanimoto_pairs(queries: DataFrame, rows: DataFrame, bits: int = 1024, cutoff: float | None = None) -> DataFrame:
     """DST1: ``query_id, id, distance``: Tanimoto distance between arrays of set bits (``id``, ``bits``), up to a cutoff if one is given; two empty ones are at 0.
 
-    Sets travel as they are and become rows of 0 and 1 only inside a task, a bounded number at a time.
+    Sets travel as they are and become rows of 0 and 1 only inside a task, a bounded number at a time.  With a cutoff below 1 only pairs that can be so near are counted out.
     """
+    if cutoff is not None and cutoff < 1:
+        return _near_sets(queries, rows, bits, cutoff)
     spark, schema = rows.sparkSession, "query_id bigint, id bigint, distance double"
     parts = spark.createDataFrame([], schema)
 
@@ -195,6 +200,89 @@ def tanimoto_pairs(queries: DataFrame, rows: DataFrame, bits: int = 1024, cutoff
     return parts.unionByName(send(block)) if block else parts
 
 
+def _dense(column: pa.ListArray, width: int) -> np.ndarray:
+    """Sets as rows of 0 and 1."""
+    out = np.zeros((len(column), width), dtype=np.uint8)
+    at = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    out[at, column.flatten().to_numpy(zero_copy_only=False)] = 1
+    return out
+
+
+def _words(sets: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1 as 64-bit words."""
+    b = np.packbits(sets, axis=1)
+    return np.pad(b, ((0, 0), (0, -b.shape[1] % 8))).view(np.uint64)
+
+
+def _axes(sets: np.ndarray) -> np.ndarray:
+    """Orthonormal directions (columns) along which rows of 0 and 1 differ most, at most ``AXES``."""
+    gram, n = np.zeros((sets.shape[1],) * 2), len(sets)
+    for i in range(0, n, TILE):
+        part = sets[i : i + TILE].astype(np.float32)
+        gram += part.T @ part
+    mean = sets.mean(axis=0)
+    return np.linalg.eigh(gram / n - np.outer(mean, mean))[1][:, -AXES:].astype(np.float32)
+
+
+def _near_sets(queries: DataFrame, rows: DataFrame, bits: int, cutoff: float) -> DataFrame:
+    """:func:`tanimoto_pairs` up to a cutoff below 1, exactly, without counting the common elements of every pair.
+
+    Sets of a and b elements within the cutoff c differ in at most c / (2 - c) * (a + b) elements.  That is the square of their euclidean distance as rows of
+    0 and 1, and no projection on orthonormal directions is longer; so a pair whose projections lie farther apart is none.  One product of two narrow
+    matrices gives that excess for all pairs of a tile (the last two columns hold the squares and sizes), and only pairs without one are counted out.
+    """
+    spark, schema = rows.sparkSession, "query_id bigint, id bigint, distance double"
+    parts = spark.createDataFrame([], schema)
+    share = cutoff / (2 - cutoff) + 1e-5  # with room for rounding in single precision, as is the 0.25 below: numbers of elements are whole
+
+    def projected(sets: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Projections and the room that a set leaves to its pairs: its share of the elements that may differ less its square."""
+        x = sets.astype(np.float32) @ axes
+        return x, (share * sets.sum(axis=1, dtype=np.int64) - np.einsum("ij,ij->i", x, x, dtype=np.float64) + 0.125).astype(np.float32)
+
+    def scan_with(shared):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, q_words, axes, q = shared.value
+            q_size = np.bitwise_count(q_words).sum(axis=1, dtype=np.int64)
+            for b in batches:
+                for lo in range(0, b.num_rows, TILE):
+                    part = b.slice(lo, TILE)
+                    xid, sets = part.column("id").to_numpy(zero_copy_only=False), _dense(part.column("bits"), bits)
+                    p, room = projected(sets, axes)
+                    x = np.hstack([p, np.ones((len(p), 1), np.float32), room[:, None]]).T
+                    words = _words(sets)
+                    size = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+                    for top in range(0, len(qid), TILE):
+                        may = np.flatnonzero(q[top : top + TILE] @ x >= 0)
+                        for k in range(0, len(may), 100_000):
+                            i, j = np.divmod(may[k : k + 100_000], len(xid))
+                            i += top
+                            both = np.bitwise_count(q_words[i] & words[j]).sum(axis=1, dtype=np.int64)
+                            either = q_size[i] + size[j] - both
+                            d = np.where(either > 0, 1 - both / np.maximum(either, 1), 0.0)
+                            ok = d <= cutoff
+                            if ok.any():
+                                yield pa.RecordBatch.from_arrays([pa.array(qid[i[ok]]), pa.array(xid[j[ok]]), pa.array(d[ok])], ["query_id", "id", "distance"])
+
+        return scan
+
+    def send(ids: list, sets: list) -> DataFrame:
+        x = _dense(pa.array(sets, pa.list_(pa.int64())), bits)
+        axes = _axes(x)
+        p, room = (np.concatenate(c) for c in zip(*[projected(x[i : i + TILE], axes) for i in range(0, len(x), TILE)], strict=True))
+        q = np.hstack([2 * p, room[:, None], np.ones((len(p), 1), np.float32)])
+        shared = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), _words(x), axes, q))
+        return rows.filter("bits is not null").select(F.col("id").cast("bigint").alias("id"), "bits").mapInArrow(scan_with(shared), schema)
+
+    ids, sets = [], []
+    for r in queries.filter("bits is not null").select("id", "bits").toLocalIterator():
+        ids.append(r.id)
+        sets.append(np.asarray(r.bits, dtype=np.int64))
+        if len(ids) * bits >= 16 * BLOCK_VALUES:
+            parts, ids, sets = parts.unionByName(send(ids, sets)), [], []
+    return parts.unionByName(send(ids, sets)) if ids else parts
+
+
 def neighbour_counts(queries: DataFrame, rows: DataFrame, metric: str, cutoff: float) -> DataFrame:
     """DST6: rows within the cutoff of each query, itself included."""
     return _per_query(queries, rows, metric, cutoff).groupBy("query_id").agg(F.sum("n").alias("n"))

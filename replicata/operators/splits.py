@@ -290,6 +290,30 @@ def near_masks(pairs: DataFrame, members: DataFrame, key: str, group: str, cutof
     return asked.join(close, "a", "left").groupBy("group", F.coalesce("near", F.array().cast("array<int>")).alias("near")).agg(F.count("*").alias("n"))
 
 
+def structure_masks(rows: DataFrame, key: str, group: str, structure: str, asked: Column, prints: Callable[[Column], Column], cutoff: float) -> DataFrame:
+    """:func:`near_masks` of the rows for which ``asked`` holds against all rows, by the Tanimoto distance of the fingerprints that ``prints`` gives for structures.
+
+    Rows of equal structure have the same neighbours, so each different structure is compared once and pairs of rows are never made: a structure knows, for every group
+    near it, the least and largest key, which tell whether a row other than the asked one is there.  ``key`` tells rows apart; rows without a structure are left out.
+    ``rows`` is read twice and should be a written table.
+    """
+    from replicata.operators.distance import tanimoto_pairs
+    from replicata.plans.skew import join_per_key
+    from replicata.plans.storage import materialize, spread
+
+    of = rows.select(F.col(key).alias("k"), F.col(group).alias("group"), F.col(structure).alias("s"), F.coalesce(asked, F.lit(False)).alias("asked")).filter("s is not null")
+    held = of.groupBy("s", "group").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count_if("asked").alias("n"))
+    kinds = materialize(held.groupBy("s").agg(F.collect_list(F.struct("group", "lo", "hi")).alias("held"), F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    sets = materialize(spread(kinds.select("id", "s", "n")).select("id", "n", prints(F.col("s")).alias("bits")))
+    pairs = tanimoto_pairs(sets.filter("n > 0"), sets, cutoff=cutoff).filter(F.col("distance") < cutoff)
+    near = pairs.join(kinds.select("id", "held"), "id").select("query_id", F.inline("held")).filter("group is not null").groupBy("query_id", "group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = near.groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct("group", "lo", "hi")).alias("found"))
+    per = materialize(kinds.filter("n > 0").select("id", "s", "n").join(found, "id", "left").select("s", "n", "found"))
+    own = join_per_key(of.filter("asked").select("k", "group", "s"), per, ["s"], "n")
+    others = F.filter("found", lambda f: (f["lo"] != F.col("k")) | (f["hi"] != F.col("k")))
+    return own.groupBy("group", F.coalesce(F.sort_array(F.transform(others, lambda f: f["group"])), F.array().cast("array<int>")).alias("near")).agg(F.count("*").alias("n"))
+
+
 def _far_fractions(masks: DataFrame, groups: int) -> Callable[[np.ndarray], np.ndarray]:
     """A function of a population (rows: chromosomes of 0 train, 1 valid, 2 test) that gives the far fractions of valid and test: one distributed pass."""
     schema = "chromosome int, part int, n bigint, far bigint"

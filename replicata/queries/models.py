@@ -235,9 +235,7 @@ def genetic_split(spark, d):
     h = table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id", "series_id", "base_rdkit_smiles", "pic50", F.col("active").cast("double").alias("active"))
     per = materialize(splits.smush(h, "series_id", 100))
     rows = materialize(splits._join_groups(h, "series_id", per, "n"))
-    prints = materialize(rows.select(F.col("rec_id").alias("id"), ngram_fingerprint(F.col("base_rdkit_smiles")).alias("bits")))
-    pairs = distance.tanimoto_pairs(prints.filter("id % 20 = 0"), prints, cutoff=0.3).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "distance")
-    masks = materialize(splits.near_masks(pairs, rows, "rec_id", "super_group", 0.3))
+    masks = materialize(splits.structure_masks(rows, "rec_id", "super_group", "base_rdkit_smiles", F.col("rec_id") % 20 == 0, ngram_fingerprint, 0.3))
     best = splits.genetic_group_split(splits.group_histogram(rows, "super_group", ["pic50", "active"]), 100, 2, masks=masks, generations=15, population=30, seed=17)
     return best.select("group", "subset", *[r6(F.col(c), c) for c in ("fitness", "far_test", "far_valid", "ratio", "response")])
 

@@ -2,9 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from replicata.operators import distance
+from replicata.functions.slots import ngram_fingerprint
+from replicata.operators import distance, splits
 from replicata.queries import modelling
 
 
@@ -74,3 +77,69 @@ def test_importance_query_has_all_places(spark, tmp_path):
 
     _embeddings(spark, tmp_path, 120)
     assert [r[0] for r in rows(registered.queries()["permutation_importance"](spark, str(tmp_path)).select("feature"))] == [0, 1, 2]
+
+
+def _sets(rng, n, width, most):
+    """Random sets with near copies of themselves, an empty one and ones just at a cutoff of 0.3 (7 of 10 elements shared)."""
+    out = [sorted(rng.choice(width, rng.integers(1, most), replace=False).tolist()) for _ in range(n)]
+    out += [s[1:] + [width - 1] for s in out[: n // 2]]
+    return [*out, [], [], list(range(10)), list(range(7)), list(range(3, 10)), list(range(9))]
+
+
+@pytest.mark.parametrize("cutoff", [-0.1, 0.0, 0.3, 0.5, 0.99])
+def test_near_sets_are_all_found(spark, monkeypatch, cutoff):
+    sets = _sets(np.random.default_rng(3), 60, 100, 30)
+    df = spark.createDataFrame([*enumerate(sets), (-1, None)], "id bigint, bits array<int>")
+    monkeypatch.setattr(distance, "BLOCK_VALUES", 100)  # several blocks of queries
+    want = {}
+    for i, a in enumerate(map(set, sets)):
+        for j, b in enumerate(map(set, sets)):
+            d = 1 - len(a & b) / len(a | b) if a | b else 0.0
+            if i % 3 == 0 and d <= cutoff:
+                want[i, j] = d
+    got = rows(distance.tanimoto_pairs(df.filter("id % 3 = 0"), df, 100, cutoff))
+    assert len(got) == len(want) and all(want[i, j] == d for i, j, d in got)
+
+
+def test_few_sets_are_counted_out():
+    """Of texts of common pieces nearly no pair is left by its projections, of equal or near texts all."""
+    rng = np.random.default_rng(4)
+    pieces = ["".join(rng.choice(list("CNOcn1()="), rng.integers(2, 10))) for _ in range(40)]
+    sets = np.zeros((2000, 1024), dtype=np.uint8)
+    for i in range(1000):
+        t = "".join(rng.choice(pieces, 13))
+        sets[i, [sum(ord(x) * m for x, m in zip(t[k : k + 3], (1, 131, 17161), strict=True)) % 1024 for k in range(len(t) - 2)]] = 1
+    sets[1000:] = sets[:1000]
+    sets[1000:, 5] ^= 1
+    axes, n = distance._axes(sets), sets.sum(axis=1)
+    assert axes.shape == (1024, distance.AXES) and np.allclose(axes.T @ axes, np.eye(distance.AXES), atol=1e-5)
+    assert distance._axes(sets[:, :8]).shape == (8, 8)
+    p = sets.astype(np.float32) @ axes
+    apart = ((p[:, None, :] - p[None, :200]) ** 2).sum(axis=2)
+    may = apart <= 0.3 / 1.7 * (n[:, None] + n[None, :200]) + 0.25
+    assert may[np.arange(200), np.arange(200)].all() and may[np.arange(200) + 1000, np.arange(200)].all() and may.mean() < 0.02
+
+
+def test_structures_are_compared_once(spark, monkeypatch):
+    """The masks are those of all pairs of rows, but rows of one structure are not paired: 900 rows of it make one query and one row."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("CNOcn1"), 30)) for _ in range(12)]
+    texts += [t[:-1] + "S" for t in texts] + ["", " ", None]
+    data = [(i, i % 7, texts[i % len(texts)]) for i in range(300)] + [(i, i % 4, "CCCCCCOCCCC") for i in range(300, 1200)] + [(1220, 5, "unlike all"), (1221, None, texts[0])]
+    df = spark.createDataFrame(data, "id bigint, g int, s string")
+    asked = F.col("id") % 20 == 0
+    whole = df.select("id", ngram_fingerprint(F.col("s")).alias("bits"))
+    pairs = distance.tanimoto_pairs(whole.filter(asked), whole, cutoff=1.0).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "distance")
+    want = rows(splits.near_masks(pairs, df, "id", "g", 0.3))
+    compared, pair_up = [], distance.tanimoto_pairs
+
+    def counted(queries, others, **more):
+        compared.append((queries.count(), others.count()))
+        return pair_up(queries, others, **more)
+
+    monkeypatch.setattr(distance, "tanimoto_pairs", counted)
+    got = rows(splits.structure_masks(df, "id", "g", "s", asked, ngram_fingerprint, 0.3))
+    # a row without neighbours has an empty list
+    assert got == want and (5, [], 1) in got
+    kinds = {s for _, _, s in data if s is not None}
+    assert compared == [(len({s for i, _, s in data if i % 20 == 0 and s is not None}), len(kinds))]
