@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_VALUES = 4_000_000  # numbers in a block of queries (32 MB)
 PAIR_VALUES = 4_000_000  # distances that a task holds at once (32 MB)
 AXES = 64  # directions in which sets are compared before their elements are counted
-TILE = 1024  # queries and rows that are compared at once (4 MB)
+TILE = 512  # queries and rows that are compared at once (1 MB)
+MAY = 100_000  # pairs whose elements are counted at once
 
 
 def _matrix(column: pa.ListArray | pa.FixedSizeListArray) -> np.ndarray:
@@ -158,13 +159,14 @@ def _per_query(queries: DataFrame, rows: DataFrame, metric: str, cutoff: float |
     return parts
 
 
-def tanimoto_pairs(queries: DataFrame, rows: DataFrame, bits: int = 1024, cutoff: float | None = None) -> DataFrame:
+def tanimoto_pairs(queries: DataFrame, rows: DataFrame, bits: int = 1024, cutoff: float | None = None, both: str | None = None) -> DataFrame:
     """DST1: ``query_id, id, distance``: Tanimoto distance between arrays of set bits (``id``, ``bits``), up to a cutoff if one is given; two empty ones are at 0.
 
-    Sets travel as they are and become rows of 0 and 1 only inside a task, a bounded number at a time.  With a cutoff below 1 only pairs that can be so near are counted out.
+    Sets travel as they are and become rows of 0 and 1 only inside a task, a bounded number at a time.  With a cutoff below 1 only pairs that can be so near are counted out,
+    and two sets that ``rows`` marks in its true or false column ``both`` as queries too (with the same unique ``id``) are compared once for both directions.
     """
     if cutoff is not None and cutoff < 1:
-        return _near_sets(queries, rows, bits, cutoff)
+        return _near_sets(queries, rows, bits, cutoff, both)
     spark, schema = rows.sparkSession, "query_id bigint, id bigint, distance double"
     parts = spark.createDataFrame([], schema)
 
@@ -224,16 +226,49 @@ def _axes(sets: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(gram / n - np.outer(mean, mean))[1][:, -AXES:].astype(np.float32)
 
 
-def _near_sets(queries: DataFrame, rows: DataFrame, bits: int, cutoff: float) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch], bits: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, words and marks of at most ``step`` sets at a time."""
+    for b in batches:
+        for part in (b.slice(lo, step) for lo in range(0, b.num_rows, step)):
+            yield part.column("id").to_numpy(zero_copy_only=False), _words(_dense(part.column("bits"), bits)), part.column("both").to_numpy(zero_copy_only=False)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], bits: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, words, sizes and marks of at most ``step`` sets at a time; about 64 times as many are put in the order of mark, size and id."""
+
+    def ordered(held: list) -> Iterator[tuple]:
+        ids, words, too = (np.concatenate(c) for c in zip(*held, strict=True))
+        size = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((ids, size, too))
+        for at in (order[lo : lo + step] for lo in range(0, len(order), step)):
+            yield ids[at], words[at], size[at], too[at]
+
+    held, n = [], 0
+    for x in _packed(batches, bits, step):
+        held.append(x)
+        n += len(x[0])
+        if n >= 64 * step:
+            yield from ordered(held)
+            held, n = [], 0
+    if held:
+        yield from ordered(held)
+
+
+def _near_sets(queries: DataFrame, rows: DataFrame, bits: int, cutoff: float, both: str | None = None) -> DataFrame:
     """:func:`tanimoto_pairs` up to a cutoff below 1, exactly, without counting the common elements of every pair.
 
     Sets of a and b elements within the cutoff c differ in at most c / (2 - c) * (a + b) elements.  That is the square of their euclidean distance as rows of
     0 and 1, and no projection on orthonormal directions is longer; so a pair whose projections lie farther apart is none.  One product of two narrow
     matrices gives that excess for all pairs of a tile (the last two columns hold the squares and sizes), and only pairs without one are counted out.
+    Any orthonormal directions give the same pairs: those of the first block of queries serve all blocks.
+
+    Queries and rows are compared in the order of their sizes, and tiles are left out whose sizes alone are too different.  Of two sets that are both queries and rows the smaller one
+    (at equal size that of the smaller id) is the query, so if all rows are queries more than half of the tiles are left out.
     """
     spark, schema = rows.sparkSession, "query_id bigint, id bigint, distance double"
     parts = spark.createDataFrame([], schema)
     share = cutoff / (2 - cutoff) + 1e-5  # with room for rounding in single precision, as is the 0.25 below: numbers of elements are whole
+    block = max(1, 16 * BLOCK_VALUES // bits)
 
     def projected(sets: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Projections and the room that a set leaves to its pairs: its share of the elements that may differ less its square."""
@@ -242,45 +277,69 @@ def _near_sets(queries: DataFrame, rows: DataFrame, bits: int, cutoff: float) ->
 
     def scan_with(shared):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q_words, axes, q = shared.value
-            q_size = np.bitwise_count(q_words).sum(axis=1, dtype=np.int64)
-            for b in batches:
-                for lo in range(0, b.num_rows, TILE):
-                    part = b.slice(lo, TILE)
-                    xid, sets = part.column("id").to_numpy(zero_copy_only=False), _dense(part.column("bits"), bits)
-                    p, room = projected(sets, axes)
-                    x = np.hstack([p, np.ones((len(p), 1), np.float32), room[:, None]]).T
-                    words = _words(sets)
-                    size = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-                    for top in range(0, len(qid), TILE):
-                        may = np.flatnonzero(q[top : top + TILE] @ x >= 0)
-                        for k in range(0, len(may), 100_000):
-                            i, j = np.divmod(may[k : k + 100_000], len(xid))
-                            i += top
-                            both = np.bitwise_count(q_words[i] & words[j]).sum(axis=1, dtype=np.int64)
-                            either = q_size[i] + size[j] - both
-                            d = np.where(either > 0, 1 - both / np.maximum(either, 1), 0.0)
-                            ok = d <= cutoff
-                            if ok.any():
-                                yield pa.RecordBatch.from_arrays([pa.array(qid[i[ok]]), pa.array(xid[j[ok]]), pa.array(d[ok])], ["query_id", "id", "distance"])
+            qid, q_words, q_size, axes, q = shared.value
+
+            def near(may: list, xid: np.ndarray, words: np.ndarray, size: np.ndarray, too: np.ndarray) -> pa.RecordBatch:
+                """Of pairs of queries and rows, by their places, those within the cutoff; of two queries also the other way round."""
+                i, j = (np.concatenate(c) for c in zip(*may, strict=True))
+                common = np.bitwise_count(q_words[i] & words[j]).sum(axis=1, dtype=np.int64)
+                either = q_size[i] + size[j] - common
+                d = np.where(either > 0, 1 - common / np.maximum(either, 1), 0.0)
+                ok = (d <= cutoff) & (~too[j] | (q_size[i] < size[j]) | ((q_size[i] == size[j]) & (qid[i] <= xid[j])))
+                a, b, d, back = qid[i[ok]], xid[j[ok]], d[ok], too[j[ok]]
+                back &= a != b
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((a, b[back]), (b, a[back]), (d, d[back]))], ["query_id", "id", "distance"])
+
+            for xid, words, size, too in _tiles(batches, bits, TILE):
+                p, room = projected(np.unpackbits(words.view(np.uint8), axis=1, count=bits), axes)
+                x = np.hstack([p, np.ones((len(p), 1), np.float32), room[:, None]]).T
+                # The smaller of two sets within the cutoff has at least the share 1 - cutoff of the larger one's elements.
+                first = np.searchsorted(q_size, (1 - cutoff) * size.min() - 1e-6)
+                upto = np.searchsorted(q_size, size.max() if too.all() else size.max() / (1 - cutoff) + 1e-6, side="right")
+                may, n = [], 0
+                for top in range(first, upto, TILE):
+                    at = np.flatnonzero(q[top : min(top + TILE, upto)] @ x >= 0)
+                    for k in range(0, len(at), MAY):
+                        i, j = np.divmod(at[k : k + MAY], len(xid))
+                        may.append((i + top, j))
+                        n += len(i)
+                        if n >= MAY:
+                            yield near(may, xid, words, size, too)
+                            may, n = [], 0
+                if may:
+                    yield near(may, xid, words, size, too)
 
         return scan
 
-    def send(ids: list, sets: list) -> DataFrame:
-        x = _dense(pa.array(sets, pa.list_(pa.int64())), bits)
-        axes = _axes(x)
-        p, room = (np.concatenate(c) for c in zip(*[projected(x[i : i + TILE], axes) for i in range(0, len(x), TILE)], strict=True))
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, words, _ in _packed(batches, bits, min(TILE, block)):
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())], ["ids", "words"])
+
+    def given(df: DataFrame, mark: Column) -> DataFrame:
+        return df.filter("bits is not null").select(F.col("id").cast("bigint").alias("id"), "bits", mark.alias("both"))
+
+    def send(held: list, axes: np.ndarray | None) -> tuple[DataFrame, np.ndarray]:
+        ids, words = (np.concatenate(c) for c in zip(*held, strict=True))
+        size = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((ids, size))
+        ids, words, size = ids[order], words[order], size[order]
+        sets = np.unpackbits(words.view(np.uint8), axis=1, count=bits)
+        axes = _axes(sets) if axes is None else axes
+        p, room = (np.concatenate(c) for c in zip(*[projected(sets[i : i + TILE], axes) for i in range(0, len(sets), TILE)], strict=True))
         q = np.hstack([2 * p, room[:, None], np.ones((len(p), 1), np.float32)])
-        shared = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), _words(x), axes, q))
-        return rows.filter("bits is not null").select(F.col("id").cast("bigint").alias("id"), "bits").mapInArrow(scan_with(shared), schema)
-
-    ids, sets = [], []
-    for r in queries.filter("bits is not null").select("id", "bits").toLocalIterator():
-        ids.append(r.id)
-        sets.append(np.asarray(r.bits, dtype=np.int64))
-        if len(ids) * bits >= 16 * BLOCK_VALUES:
-            parts, ids, sets = parts.unionByName(send(ids, sets)), [], []
-    return parts.unionByName(send(ids, sets)) if ids else parts
+        shared = spark.sparkContext.broadcast((ids, words, size, axes, q))
+        too = F.coalesce(F.col(both), F.lit(False)) if both else F.lit(False)
+        return given(rows, too).mapInArrow(scan_with(shared), schema), axes
+
+    held, n, axes = [], 0, None
+    for r in given(queries, F.lit(True)).mapInArrow(packed, "ids binary, words binary").toLocalIterator():
+        ids = np.frombuffer(r.ids, np.int64)
+        held.append((ids, np.frombuffer(r.words, np.uint64).reshape(len(ids), -1)))
+        n += len(ids)
+        if n >= block:
+            near, axes = send(held, axes)
+            parts, held, n = parts.unionByName(near), [], 0
+    return parts.unionByName(send(held, axes)[0]) if held else parts
 
 
 def neighbour_counts(queries: DataFrame, rows: DataFrame, metric: str, cutoff: float) -> DataFrame:

@@ -293,7 +293,7 @@ def near_masks(pairs: DataFrame, members: DataFrame, key: str, group: str, cutof
 def structure_masks(rows: DataFrame, key: str, group: str, structure: str, asked: Column, prints: Callable[[Column], Column], cutoff: float) -> DataFrame:
     """:func:`near_masks` of the rows for which ``asked`` holds against all rows, by the Tanimoto distance of the fingerprints that ``prints`` gives for structures.
 
-    Rows of equal structure have the same neighbours, so each different structure is compared once and pairs of rows are never made: a structure knows, for every group
+    Rows of equal structure have the same neighbours, so each different structure is compared once (two asked ones for both directions) and pairs of rows are never made: a structure knows, for every group
     near it, the least and largest key, which tell whether a row other than the asked one is there.  ``key`` tells rows apart; rows without a structure are left out.
     ``rows`` is read twice and should be a written table.
     """
@@ -305,7 +305,7 @@ def structure_masks(rows: DataFrame, key: str, group: str, structure: str, asked
     held = of.groupBy("s", "group").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count_if("asked").alias("n"))
     kinds = materialize(held.groupBy("s").agg(F.collect_list(F.struct("group", "lo", "hi")).alias("held"), F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     sets = materialize(spread(kinds.select("id", "s", "n")).select("id", "n", prints(F.col("s")).alias("bits")))
-    pairs = tanimoto_pairs(sets.filter("n > 0"), sets, cutoff=cutoff).filter(F.col("distance") < cutoff)
+    pairs = tanimoto_pairs(sets.filter("n > 0"), sets.withColumn("both", F.col("n") > 0), cutoff=cutoff, both="both").filter(F.col("distance") < cutoff)
     near = pairs.join(kinds.select("id", "held"), "id").select("query_id", F.inline("held")).filter("group is not null").groupBy("query_id", "group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     found = near.groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct("group", "lo", "hi")).alias("found"))
     per = materialize(kinds.filter("n > 0").select("id", "s", "n").join(found, "id", "left").select("s", "n", "found"))
@@ -328,13 +328,13 @@ def _far_fractions(masks: DataFrame, groups: int) -> Callable[[np.ndarray], np.n
                 own, n = b.column("group").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
                 near = b.column("near")
                 at = np.repeat(np.arange(len(own)), pc.list_value_length(near).to_numpy(zero_copy_only=False))
-                hot = np.zeros((len(own), groups), dtype=bool)
-                hot[at, pc.list_flatten(near).to_numpy(zero_copy_only=False)] = True
-                for c, row in enumerate(pop):
-                    far = ~hot[:, row == 0].any(axis=1)
-                    for part in (1, 2):
-                        mine = row[own] == part
-                        total[c, part - 1] += (n[mine].sum(), n[mine & far].sum())
+                hot = np.zeros((len(own), groups), dtype=np.float32)
+                hot[at, pc.list_flatten(near).to_numpy(zero_copy_only=False)] = 1
+                # By row and chromosome: its subset, and whether no group near it is in train.
+                of, far = pop.T[own], hot @ (pop.T == 0).astype(np.float32) == 0
+                for part in (1, 2):
+                    total[:, part - 1, 0] += n @ (of == part)
+                    total[:, part - 1, 1] += n @ ((of == part) & far)
             c, p = np.indices(total.shape[:2])
             yield pa.RecordBatch.from_arrays([pa.array(c.ravel().astype(np.int32)), pa.array(p.ravel().astype(np.int32)), pa.array(total[:, :, 0].ravel()), pa.array(total[:, :, 1].ravel())], ["chromosome", "part", "n", "far"])
 

@@ -228,14 +228,14 @@ def smush_scaffolds(spark, d):
 
 @R.query()
 def genetic_split(spark, d):
-    """Series merged to 100 super-groups and split by the whole fitness; structures of every 20th record are compared with all for the far fractions."""
+    """Series merged to 100 super-groups and split by the whole fitness; its far fractions compare the structures of all records with all."""
     from replicata.functions.slots import ngram_fingerprint
     from replicata.plans.storage import materialize
 
     h = table(spark, d, "htr3a_dtc_smiles_curated").select("rec_id", "series_id", "base_rdkit_smiles", "pic50", F.col("active").cast("double").alias("active"))
     per = materialize(splits.smush(h, "series_id", 100))
     rows = materialize(splits._join_groups(h, "series_id", per, "n"))
-    masks = materialize(splits.structure_masks(rows, "rec_id", "super_group", "base_rdkit_smiles", F.col("rec_id") % 20 == 0, ngram_fingerprint, 0.3))
+    masks = materialize(splits.structure_masks(rows, "rec_id", "super_group", "base_rdkit_smiles", F.lit(True), ngram_fingerprint, 0.3))
     best = splits.genetic_group_split(splits.group_histogram(rows, "super_group", ["pic50", "active"]), 100, 2, masks=masks, generations=15, population=30, seed=17)
     return best.select("group", "subset", *[r6(F.col(c), c) for c in ("fitness", "far_test", "far_valid", "ratio", "response")])
 

@@ -143,3 +143,36 @@ def test_structures_are_compared_once(spark, monkeypatch):
     assert got == want and (5, [], 1) in got
     kinds = {s for _, _, s in data if s is not None}
     assert compared == [(len({s for i, _, s in data if i % 20 == 0 and s is not None}), len(kinds))]
+
+
+@pytest.mark.parametrize("cutoff", [0.3, 0.99])
+def test_near_queries_are_found_from_both_sides(spark, monkeypatch, cutoff):
+    """Pairs of queries are compared once; pairs and rows are the same as without that, in several blocks and tiles."""
+    sets = _sets(np.random.default_rng(5), 60, 100, 30)
+    df = spark.createDataFrame([(997 * i % 101, s, i % 3 != 0) for i, s in enumerate(sets)] + [(-1, None, True)], "id bigint, bits array<int>, asked boolean")
+    monkeypatch.setattr(distance, "BLOCK_VALUES", 100)
+    monkeypatch.setattr(distance, "TILE", 8)
+    for few in (df, df.filter("asked")):
+        got = rows(distance.tanimoto_pairs(df.filter("asked"), few, 100, cutoff, both="asked"))
+        assert got == rows(distance.tanimoto_pairs(df.filter("asked"), few, 100, cutoff)) and any(a > b for a, b, _ in got)
+
+
+def test_genetic_split_asks_all_records(spark, tmp_path):
+    """The far fractions count every record: those of the split are the ones that plain Python finds, in a table without any id divisible by 20."""
+    import __spark_entry__ as registered
+
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("CNOcn1"), 30)) for _ in range(40)]
+    texts += [t[:-1] + "S" for t in texts] + ["", None]
+    data = [(20 * i + 1 + i % 19, f"s{i % 11}", texts[int(rng.integers(len(texts)))], float(rng.random()), int(i % 2)) for i in range(230)]
+    df = spark.createDataFrame(data, "rec_id bigint, series_id string, base_rdkit_smiles string, pic50 double, active int")
+    df.write.parquet(str(tmp_path / "htr3a_dtc_smiles_curated.parquet"))
+    split = {r.group: r for r in registered.queries()["genetic_split"](spark, str(tmp_path)).collect()}
+    group = {r.group: r.super_group for r in splits.smush(df, "series_id", 100).collect()}
+    bits = {r.s: set(r.b) for r in df.select(F.col("base_rdkit_smiles").alias("s"), ngram_fingerprint(F.col("base_rdkit_smiles")).alias("b")).filter("s is not null").distinct().collect()}
+    of = [(split[group[g]].subset, bits[s]) for _, g, s, _, _ in data if s is not None]
+    train = [b for subset, b in of if subset == "train"]
+    for part in ("valid", "test"):
+        mine = [b for subset, b in of if subset == part]
+        far = sum(not any((1 - len(a & b) / len(a | b) if a | b else 0.0) < 0.3 for b in train) for a in mine) / len(mine)
+        assert abs(split[0][f"far_{part}"] - far) < 1e-6 and 0 < far < 1
